@@ -19,6 +19,8 @@ from .common import read_table, staged, word_count
 
 #: Patterns and sources that the driver solves over; more raise an error.
 MAX_PATTERNS = 100_000
+#: Documents that may be taken out of order to come near a target.
+FILLS = 6
 
 
 def capped_targets(sizes: dict, weights: dict, repeats: int) -> dict:
@@ -141,15 +143,15 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, weights, repeats
     light = base.select("__p", "__h", "size").join(F.broadcast(plan.where("__rest > 0").select("__p", "__rest")), "__p").where("size > 0")
     light = staged(light, "mix")  # at most MAX_PATTERNS rows were broadcast
     chosen = F.broadcast(plan.join(_cuts(light), "__p", "left"))
-    once = F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)).cast("long") + F.coalesce(F.col("__h") == F.col("__fill"), F.lit(False)).cast("long")
+    once = F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)).cast("long") + F.coalesce(F.array_contains("__fills", F.col("__h")), F.lit(False)).cast("long")
     copies = F.when(F.col("size") > 0, F.col("__whole") + once).otherwise(F.lit(0))
     out = base.join(chosen, "__p").withColumn("copies", copies)
     return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _cuts(light: DataFrame) -> DataFrame:
-    """(__p, __cut, __fill): a pattern's rows up to hash __cut come to at most __rest tokens; __fill is the hash of the
-    later row that brings the sum nearest to __rest, or one that no row has."""
+    """(__p, __cut, __fills): a pattern's rows up to hash __cut come to at most __rest tokens; __fills are hashes of up
+    to FILLS later rows, each the one that brings the sum nearest to __rest."""
     bucket = F.shiftright("__h", 48)  # 2^16 buckets in the order of the hash
     upto = Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = light.groupBy("__p", "__rest", bucket.alias("__b")).agg(F.sum("size").alias("__t"))
@@ -160,10 +162,21 @@ def _cuts(light: DataFrame) -> DataFrame:
     fits = inside.withColumn("__sum", so_far).where("__sum <= __rest").groupBy("__p").agg(F.max("__h").alias("__cut"), F.max("__sum").alias("__sum"))
     edge = F.shiftleft(F.col("__b"), 48) - 1  # below the bucket, where nothing in it fits
     cuts = at.join(fits, "__p", "left").select("__p", F.coalesce("__cut", edge).alias("__cut"), F.coalesce("__sum", "__from").alias("__sum"))
-    gap = F.col("__rest") - F.col("__sum")
-    nearer = light.join(F.broadcast(cuts), "__p").where((F.col("__h") > F.col("__cut")) & (F.col("size") < 2 * gap))
-    fill = nearer.groupBy("__p").agg(F.min(F.struct(F.abs(gap - F.col("size")), F.col("__h").alias("h"))).alias("f"))
-    return cuts.join(fill, "__p", "left").select("__p", "__cut", F.col("f.h").alias("__fill"))
+    state = {r["__p"]: [r["__cut"], r["__rest"] - r["__sum"], []] for r in cuts.join(light.select("__p", "__rest").distinct(), "__p").collect()}  # a row a pattern
+    spark = light.sparkSession
+    for _ in range(FILLS):
+        now = [(p, cut, gap, fills) for p, (cut, gap, fills) in state.items() if gap > 0]
+        if not now:
+            break
+        gaps = F.broadcast(spark.createDataFrame(now, "__p string, __cut long, __gap long, __fills array<long>"))
+        later = light.join(gaps, "__p").where((F.col("__h") > F.col("__cut")) & (F.col("size") < 2 * F.col("__gap")) & ~F.array_contains("__fills", F.col("__h")))
+        best = later.groupBy("__p").agg(F.min(F.struct(F.abs(F.col("__gap") - F.col("size")), F.col("__h").alias("h"), "size")).alias("f")).collect()
+        for r in best:
+            state[r["__p"]][1] -= r["f"]["size"]
+            state[r["__p"]][2].append(r["f"]["h"])
+        if not best:
+            break
+    return spark.createDataFrame([(p, cut, fills) for p, (cut, _, fills) in state.items()], "__p string, __cut long, __fills array<long>")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
