@@ -18,7 +18,7 @@ from .common import read_table, staged
 #: Units that the heap schedules: at most 2 * shards * FINE.
 FINE = 1000
 #: Rows that one numbering task sorts, about.
-CELL_ROWS = 4096
+CELL_ROWS = 512
 
 
 def longest_first(units: list[tuple[int, int]], shards: int) -> dict[int, int]:
