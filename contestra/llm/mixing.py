@@ -152,7 +152,7 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, weights, repeats
 def _cuts(light: DataFrame) -> DataFrame:
     """(__p, __cut, __fills): a pattern's rows up to hash __cut come to at most __rest tokens; __fills are hashes of up
     to FILLS later rows, each the one that brings the sum nearest to __rest."""
-    bucket = F.shiftright("__h", 48)  # 2^16 buckets in the order of the hash
+    bucket = F.shiftright("__h", 52)  # 2^12 buckets in the order of the hash
     upto = Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = light.groupBy("__p", "__rest", bucket.alias("__b")).agg(F.sum("size").alias("__t"))
     buckets = buckets.withColumn("__from", F.coalesce(F.sum("__t").over(upto), F.lit(0)))
@@ -160,7 +160,7 @@ def _cuts(light: DataFrame) -> DataFrame:
     inside = light.withColumn("__b", bucket).join(F.broadcast(at), ["__p", "__b"])  # a row a pattern
     so_far = F.col("__from") + F.sum("size").over(Window.partitionBy("__p").orderBy("__h").rangeBetween(Window.unboundedPreceding, 0))
     fits = inside.withColumn("__sum", so_far).where("__sum <= __rest").groupBy("__p").agg(F.max("__h").alias("__cut"), F.max("__sum").alias("__sum"))
-    edge = F.shiftleft(F.col("__b"), 48) - 1  # below the bucket, where nothing in it fits
+    edge = F.shiftleft(F.col("__b"), 52) - 1  # below the bucket, where nothing in it fits
     cuts = at.join(fits, "__p", "left").select("__p", F.coalesce("__cut", edge).alias("__cut"), F.coalesce("__sum", "__from").alias("__sum"))
     state = {r["__p"]: [r["__cut"], r["__rest"] - r["__sum"], []] for r in cuts.join(light.select("__p", "__rest").distinct(), "__p").collect()}  # a row a pattern
     spark = light.sparkSession
