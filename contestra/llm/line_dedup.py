@@ -14,16 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, read_table, staged, unstage
+from .common import connected_components, read_table, staged
 
 MOST, LEAST = 2, 24
 #: Lines under one key whose pairs are listed; larger groups are paired where they are verified, BLOCK by BLOCK.
 LISTED, BLOCK = 40, 1500
 #: Ids that may be broadcast to fetch texts; more are joined.
 FEW_IDS = 1_000_000
+#: Characters of all pairs that are compared at once.
+CELLS = 4_000_000
 
 
 def within_edits(a: list[str], b: list[str], most: int) -> np.ndarray:
@@ -35,8 +38,12 @@ def within_edits(a: list[str], b: list[str], most: int) -> np.ndarray:
     good = np.zeros(n, bool)
     live = np.nonzero(la - lb <= most)[0]
     live = live[np.argsort(lb[live], kind="stable")]
-    for i in range(0, len(live), 20_000):
-        part = live[i : i + 20_000]
+    i = 0
+    while i < len(live):
+        step = min(len(live) - i, 20_000)
+        while step > 1 and step * (lb[live[i + step - 1]] + 4 * most) > CELLS:
+            step //= 2
+        part, i = live[i : i + step], i + step
         good[part] = _band([b[k] if swap[k] else a[k] for k in part], [a[k] if swap[k] else b[k] for k in part], la[part], lb[part], most)
     return good
 
@@ -75,22 +82,45 @@ def _band(long: list[str], short: list[str], la: np.ndarray, lb: np.ndarray, mos
     return dist <= most
 
 
-def keys_of(line: Column, most: int) -> Column:
-    """Array of (key, index): the keys a line is indexed under and, index false, those it only probes."""
-    n, out = F.char_length(line), []
+def _places(length: int, most: int) -> list[tuple[int, int, int, int, bool]]:
+    """(indexed length, segment, start, end, index) of the keys of a line of that length; index false: only probed."""
+    out = []
     for less in range(most + 1):
-        length = n - less
-        sizes = [F.floor((length + i) / (most + 1)).cast("int") for i in range(most + 1)]
-        start = F.lit(1)
-        for i, size in enumerate(sizes):  # segment i, after which most - i edits may still come
+        of, start = length - less, 0
+        if of < LEAST:
+            break
+        for i in range(most + 1):  # segment i, after which most - i edits may still come
+            size = (of + i) // (most + 1)
             for shift in range(max(-i, less - (most - i)), min(i, less + most - i) + 1):
-                own = less == 0 and shift == 0
                 at = start + shift
-                key = F.xxhash64(length, F.lit(i), F.substring(line, at, size))
-                fits = (length >= LEAST) & (at >= 1) & (at + size - 1 <= n)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(own).alias("index"))))
-            start = start + size
-    return F.array_compact(F.array(*out))
+                if at >= 0 and at + size <= length:
+                    out.append((of, i, at, at + size, less == 0 and shift == 0))
+            start += size
+    return out
+
+
+def keys_of(most: int):
+    """mapInPandas function from (id, line) to (key, id, index)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places, digest = {}, xxhash.xxh64_intdigest
+        for pdf in batches:
+            for lo in range(0, len(pdf), 5000):
+                keys, ids, index = [], [], []
+                for id_, line in zip(pdf["id"].to_numpy()[lo : lo + 5000].tolist(), pdf["line"].iloc[lo : lo + 5000], strict=True):
+                    n = len(line)
+                    if n not in places:
+                        if len(places) > 20_000:
+                            places.clear()
+                        found = _places(n, most)
+                        places[n] = [(of * 64 + i, x, y) for of, i, x, y, _ in found], [f[4] for f in found]
+                    where, own = places[n]
+                    keys += [digest(line[x:y].encode(), seed) for seed, x, y in where]
+                    ids += [id_] * len(where)
+                    index += own
+                yield pd.DataFrame({"key": np.array(keys, np.uint64).astype(np.int64), "id": np.array(ids, np.int64), "index": np.array(index, bool)})
+
+    return run
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,8 +167,8 @@ def _likely(x: list[str], y: list[str], most: int) -> tuple[np.ndarray, np.ndarr
 
 def edit_links(lines: DataFrame, most: int = MOST) -> DataFrame:
     """(u, v), u < v: all pairs of lines(id, line), distinct lines, at edit distance `most` or less (both LEAST long)."""
-    keyed = lines.where(F.char_length("line") >= LEAST).select("id", F.explode(keys_of(F.col("line"), most)).alias("k"))
-    keyed = keyed.select("k.key", "id", "k.index").repartition("key")
+    keyed = lines.where(F.char_length("line") >= LEAST).select("id", "line").mapInPandas(keys_of(most), "key long, id long, index boolean")
+    keyed = keyed.repartition("key")
     met = staged(keyed.mapInPandas(_meet, "hot boolean, a long, b long"), "met")
     pairs = met.where("not hot").select("a", "b").distinct()
     ids = staged(met.select(F.explode(F.when(F.col("hot"), F.array("b")).otherwise(F.array("a", "b"))).alias("id")).distinct(), "ids")
