@@ -195,7 +195,16 @@ def fit(texts: DataFrame, p: Params = Params()) -> tuple[Model, DataFrame]:
     counts = staged(word_counts(texts), "words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    head = counts.where((F.col("c") > 1) & (F.octet_length("word") > 0)).orderBy(F.desc("c"), "word").limit(p.head).toPandas()
+    often = counts.where((F.col("c") > 1) & (F.octet_length("word") > 0)).withColumn("step", F.floor(F.log2("c") * 64))
+    room, bar = p.head, 1 << 30  # the lowest step of frequency down to which all words fit
+    for r in often.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        room -= r["n"]
+        if room < 0:
+            break
+        bar = r["step"]
+    head = often.where(F.col("step") >= bar).select("word", "c").toPandas()
+    head["word"] = head["word"].map(bytes)
+    head = head.sort_values(["c", "word"], ascending=[False, True])
     words, c = [bytes(w) for w in head["word"]], head["c"].to_numpy(dtype=np.int64)
     by_length = F.least(F.floor((F.octet_length("word") - 1) / 4), F.lit(LENGTHS - 1))
     tail = [[0, 0] for _ in range(LENGTHS)]
