@@ -33,6 +33,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def hashed_sample(rows: DataFrame, key: str, n: int, wanted: int) -> DataFrame:
+    """About `wanted` of n rows, never more than twice that, chosen by a hash of the key; all rows if n is no more."""
+    grain = 1 << 24
+    share = -(-grain * wanted // max(n, 1))
+    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(grain)) < share).limit(2 * wanted) if share < grain else rows
+
+
 def learn_rotations(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = FIT_ROUNDS, seed: int = 3) -> np.ndarray:
     """(rotations, dimensions, 64): orthogonal maps under which signs lose little of the sample's directions."""
     r, d, out = np.random.default_rng(seed), sample.shape[1], []
@@ -124,7 +131,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             out[i, : len(x)] = x
         return out
 
-    sample = matrix(rows.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).toPandas()["v"])
+    sample = matrix(hashed_sample(rows, "vec_id", n, FIT_ROWS).toPandas().sort_values("vec_id")["v"])
     rest = np.sqrt(np.maximum(longest**2 - (sample * sample).sum(1), 0))
     shared = table.sparkSession.sparkContext.broadcast(learn_rotations(np.hstack([sample, rest[:, None]])))
     blocks, parts = max(1, -(-n // ROW_BLOCK)), max(1, -(-nq // QUERY_BLOCK))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ann import usable
+from .ann import hashed_sample, usable
 from .common import connected_components, read_table, staged
 
 #: Vectors a centroid is meant for, most centroids of a label, most shards of a vector, and how much less near a
@@ -140,7 +140,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, per_shard: int = PER
             out[i, : len(x)] = x / np.abs(x).max()
         return out / np.linalg.norm(out, axis=1, keepdims=True)
 
-    sample = groups.orderBy(F.xxhash64("digest")).limit(FIT_ROWS).select("label", "v").toPandas()
+    sample = hashed_sample(groups, "digest", sum(sizes.values()), FIT_ROWS).select("digest", "label", "v").toPandas().sort_values("digest", ignore_index=True)
     sample["v"] = list(unit(sample["v"]))
     shared = spark.sparkContext.broadcast(centroids_of(sample, sizes, per_shard, MOST_SHARDS))
 
