@@ -9,8 +9,11 @@ each batch is packed on its own, so nothing but one batch is ever held together.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,8 @@ from .common import read_table, staged
 BATCH = 4096
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 400_000
+#: Texts that are looked up together.
+TOGETHER = 256
 END = b"\x01\x00\x00\x00"
 
 
@@ -33,17 +38,20 @@ class WordIds(dict):
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def of(self, texts: list) -> Iterator[bytes]:
+        """The ids of each text and the end id; null texts are empty. Chunks not seen before are encoded together."""
+        split = [t.encode().split() if t else [] for t in texts]
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        self[chunk] = out = np.array(ids, dtype="<u4").tobytes()
-        return out
-
-    def of(self, text: str | None) -> bytes:
-        return b"".join([self[w] for w in text.encode().split()]) + END if text else END
+        fresh = [w for w in set(chain.from_iterable(split)) if w not in self]
+        if fresh:
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+            self.update(zip(fresh, [array("I", e.ids).tobytes() for e in got], strict=True))
+        for words in split:
+            yield b"".join(map(self.__getitem__, words)) + END
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,8 +67,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
         words = WordIds(path)
         for pdf in batches:
             doc, start, length, crc, total = [], [], [], [], []
-            for at, text in enumerate(pdf["text"]):
-                ids = words.of(text)
+            texts = pdf["text"].tolist()
+            for at, ids in enumerate(chain.from_iterable(words.of(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER))):
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     part = ids[4 * s : 4 * (s + capacity)]
