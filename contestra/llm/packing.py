@@ -87,26 +87,25 @@ def dot_product_bins(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Sequence number of each row of demand (items x dimensions); every row fits within limits."""
     share = demand / limits
     order = np.lexsort((np.arange(len(share)), -share.sum(1)))
-    share, demand = share[order], demand[order]
-    out = np.empty(len(demand), np.int64)
-    live, at = np.arange(len(demand)), 0
+    want, part = np.ascontiguousarray(demand[order].T.astype(float)), np.ascontiguousarray(share[order].T)
+    out, live, at = np.empty(len(demand), np.int64), order, 0
     while len(live):
-        free, chosen = limits.astype(float).copy(), []
-        items, want, part = live, demand[live], share[live]
-        while len(items):
-            fits = (want <= free).all(1)
-            if not fits.all():
-                items, want, part = items[fits], want[fits], part[fits]
-                if not len(items):
-                    break
-            k = int(np.argmax(part @ (free / limits)))
-            chosen.append(items[k])
-            free -= want[k]
-            keep = np.arange(len(items)) != k
-            items, want, part = items[keep], want[keep], part[keep]
-        out[order[chosen]] = at
+        free, open_ = limits.astype(float), np.ones(len(live), bool)
+        while True:
+            fits = open_.copy()
+            for w, f in zip(want, free, strict=True):
+                fits &= w <= f
+            if not fits.any():
+                break
+            score = np.zeros(len(live))
+            for p, c in zip(part, free / limits, strict=True):
+                score += p * c
+            score[~fits] = -1
+            k = int(np.argmax(score))
+            out[live[k]], open_[k] = at, False
+            free = free - want[:, k]
+        live, want, part = live[open_], np.ascontiguousarray(want[:, open_]), np.ascontiguousarray(part[:, open_])
         at += 1
-        live = live[~np.isin(live, chosen)]
     return out
 
 
