@@ -26,8 +26,8 @@ def nearest_date_join(left: DataFrame, right: DataFrame, keys: list[str], date:
     """
     days = F.explode(F.array(*[F.struct(F.lit(i).alias("__p"), F.date_add(F.col(date), o).alias("__d")) for i, o in enumerate(offsets)]))
     cand = left.withColumn("__x", days).select(*left.columns, "__x.*")
-    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(date).alias("r_date"), "r_seq")
-    hit = cand.join(r, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys], F.col("__d") == F.col("r_date")), "left")
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col(date).alias("r_date"), "r_seq")
+    hit = cand.join(r, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__r_{k}") for k in keys], F.col("__d") == F.col("r_date")), "left")
     return latest_per_key(hit, ["seq"], [F.col("r_seq").isNull().asc(), F.col("__p").asc(), F.col("r_seq").asc()]).select(*left.columns, "r_date", "r_seq")
 
 
