@@ -9,11 +9,10 @@ each batch is packed on its own, so nothing but one batch is ever held together.
 
 from __future__ import annotations
 
-import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,9 +24,7 @@ from .common import read_table, staged
 #: Pieces in a batch, about. Batches are independent.
 BATCH = 4096
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Texts that are looked up together.
-TOGETHER = 256
+REMEMBERED = 1_200_000
 END = b"\x01\x00\x00\x00"
 
 
@@ -38,20 +35,23 @@ class WordIds(dict):
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
 
-    def of(self, texts: list) -> Iterator[bytes]:
-        """The ids of each text and the end id; null texts are empty. Chunks not seen before are encoded together."""
-        split = [t.encode().split() if t else [] for t in texts]
+    def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        fresh = [w for w in set(chain.from_iterable(split)) if w not in self]
-        if fresh:
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            self.update(zip(fresh, [array("I", e.ids).tobytes() for e in got], strict=True))
-        for words in split:
-            yield b"".join(map(self.__getitem__, words)) + END
+        self[chunk] = out = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        return out
+
+    def of(self, text: str | None) -> bytes:
+        """The ids of a text and the end id; a null text is empty."""
+        return b"".join(map(self.__getitem__, text.encode().split())) + END if text else END
+
+
+@cache
+def word_ids(tokenizer_path: str) -> WordIds:
+    """One for each tokenizer in a worker process, which serves many tasks."""
+    return WordIds(tokenizer_path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -64,11 +64,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, and mix, which deals pieces into batches."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(path)
+        words = word_ids(path)
         for pdf in batches:
             doc, start, length, crc, total = [], [], [], [], []
-            texts = pdf["text"].tolist()
-            for at, ids in enumerate(chain.from_iterable(words.of(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER))):
+            for at, ids in enumerate(map(words.of, pdf["text"])):
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     part = ids[4 * s : 4 * (s + capacity)]
