@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 from contestra.operators.fold import elo_fold
@@ -9,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def cell(x):
-    if x is None or x != x:
+    if pd.isna(x):
         return "~"
     if isinstance(x, bool) or str(x) in ("True", "False"):
         return str(int(bool(x)))
