@@ -120,9 +120,9 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("seq").agg((side("a", rate) - side("b", rate)).alias("rate_diff"), (side("a", exposure) - side("b", exposure)).alias("exp_diff"), F.min("n").alias("strength"), side("a", F.col("won")).alias("y"))
 
 
-@query("x02_features", BEFORE + " select seq, round(rate_diff, 4) as rate_diff, round(exp_diff, 4) as exp_diff, strength from f")
+@query("x02_features", BEFORE + " select seq, rate_diff, round(exp_diff, 4) as exp_diff, strength from f")
 def x02(spark, d):
-    return features(spark, d).select("seq", r4("rate_diff").alias("rate_diff"), r4("exp_diff").alias("exp_diff"), "strength")
+    return features(spark, d).select("seq", "rate_diff", r4("exp_diff").alias("exp_diff"), "strength")
 
 
 @query("x07_forecast", BEFORE + """, p as (select seq, strength, 1 / (1 + exp(-least(greatest(2.5 * rate_diff + 0.1 * exp_diff, -30), 30))) as p from f)
