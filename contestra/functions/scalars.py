@@ -109,3 +109,8 @@ def scorable_rounds(finish: Column, ended: Column, scheduled: Column) -> Column:
 def pick_points(correct: Column, confidence: Column) -> Column:
     """100 and the confidence above 50 if correct, minus that confidence if wrong, 0 if correct is null."""
     return F.when(correct, 100 + confidence - 50).when(~correct, 50 - confidence).otherwise(0)
+
+
+def normalize_phrase(text: Column) -> Column:
+    """Like normalize_name, but apostrophes stay (curly ones straightened), for phrase patterns."""
+    return F.trim(F.regexp_replace(F.replace(_folded(text), F.lit("’"), F.lit("'")), "[^a-z0-9']+", " "))
