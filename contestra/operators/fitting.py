@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # The linear congruential generator of the bootstrap, and limits of the gate and the tables.
 LCG_SEED, LCG_STEP, LCG_ADD, LCG_SIZE = 123456789, 1664525, 1013904223, 4294967296
-ACCURACY_LOSS, SMALLEST_DRIVER, TOP_DRIVERS, RECOVERY_TOLERANCE, ELO_SLOPE = 0.005, 1e-9, 3, 1e-12, 0.0060851
+ACCURACY_LOSS, SMALLEST_DRIVER, TOP_DRIVERS, RECOVERY_TOLERANCE, ELO_SLOPE = 0.005, 1e-9, 3, 1e-12, 0.006085080947128282
 
 
 def bounded_rows(rows: DataFrame, key: str, most: int = 200_000) -> pd.DataFrame:

@@ -23,7 +23,7 @@ NO_WIN_RESUME, NO_OPPONENT_SCHEDULE, TOP, LAST_OPPONENTS, LAST_RESULTS = 1425.0,
 SCHEDULE_DECAY, FORM_DECAY, FINISH_GAIN = 0.12, 0.32, 1.12
 STEPS, RATE, RATE_STEPS, RIDGE, LEAST_ROWS, LEAST_SKILL = 260, 0.18, 80, 0.012, 1000, 0.45
 
-HISTORY = "seq long, event_date date, division string, entity_id long, opponent_id long, won double, finish boolean, before double, opponent_before double, after double, " + ", ".join(f"{m} double" for m in MEASURES)
+HISTORY = "seq long, event_date date, division string, entity_id long, opponent_id long, won double, ended boolean, before double, opponent_before double, after double, " + ", ".join(f"{m} double" for m in MEASURES)
 
 
 class _Career:
@@ -104,7 +104,7 @@ def current_measures(history: DataFrame) -> DataFrame:
         F.count("*").alias("bouts"),
         F.count_distinct("opponent_id").alias("opponents"),
         F.count_if(won).alias("wins"),
-        F.coalesce(F.sum(F.when(won & F.col("finish"), 1 / (1 + F.exp((1500 - F.col("opponent_before")) / 240)))), F.lit(0.0)).alias("ended"),
+        F.coalesce(F.sum(F.when(won & F.col("ended"), 1 / (1 + F.exp((1500 - F.col("opponent_before")) / 240)))), F.lit(0.0)).alias("quality"),
     )
     best = last(history.where(won), [F.desc("opponent_before"), F.desc("seq")], TOP).groupBy("entity_id").agg(F.avg("opponent_before").alias("best"))
     schedule = faded(last(history, recent, LAST_OPPONENTS), F.col("opponent_before"), SCHEDULE_DECAY, "schedule")
@@ -114,7 +114,7 @@ def current_measures(history: DataFrame) -> DataFrame:
         .select(
             "entity_id", F.col("last.division").alias("division"), "bouts", "opponents", F.col("last.after").alias("skill"),
             F.coalesce(F.col("best") + F.least(F.lit(80.0), 18 * F.log1p("wins")), F.lit(NO_WIN_RESUME)).alias("resume"),
-            "schedule", F.coalesce("form", F.lit(0.0)).alias("form"), (F.col("ended") / (F.greatest(F.lit(1), "wins") + 1.5)).alias("finish"),
+            "schedule", F.coalesce("form", F.lit(0.0)).alias("form"), (F.col("quality") / (F.greatest(F.lit(1), "wins") + 1.5)).alias("finish"),
         )
     )
 

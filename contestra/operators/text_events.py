@@ -75,7 +75,11 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, name_id: s
     known = names.select(normalize_name(F.col(name)).alias("__n"), name_id).where((F.length("__n") >= 6) & F.size(F.split("__n", " ")).between(2, most_words))
     known = known.groupBy("__n").agg(F.sort_array(F.collect_set(name_id)).alias("name_ids"))
     words = texts.select(key, F.split(normalize_name(F.col(text)), " ").alias("w"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")) for n in range(2, most_words + 1)]
+
+    def grams_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    grams = [grams_of(n) for n in range(2, most_words + 1)]
     found = words.select(key, F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("__n")).join(known, "__n")
     return found.select(key, F.col("__n").alias("name"), "name_ids", (F.size("name_ids") > 1).alias("ambiguous")).distinct()
 

@@ -5,6 +5,7 @@ import pytest
 from contestra.operators.fold import elo_fold
 from contestra.operators.relational import append_once, merge_upsert, scd2_apply
 import contestra.plans.derived as derived
+import contestra.plans.views as views
 from contestra.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
