@@ -114,3 +114,22 @@ def pick_points(correct: Column, confidence: Column) -> Column:
 def normalize_phrase(text: Column) -> Column:
     """Like normalize_name, but apostrophes stay (curly ones straightened), for phrase patterns."""
     return F.trim(F.regexp_replace(F.replace(_folded(text), F.lit("’"), F.lit("'")), "[^a-z0-9']+", " "))
+
+
+# Classes in the order in which they are looked for; the first found in the text names it.
+DIVISIONS = ("Women's Strawweight", "Women's Flyweight", "Women's Bantamweight", "Women's Featherweight", "Light Heavyweight", "Heavyweight", "Middleweight", "Welterweight", "Lightweight", "Featherweight", "Bantamweight", "Flyweight", "Strawweight")
+DIVISION_WORDS = r"(?i)Interim\s+|Title\s+Bout|\s+Bout$"
+DIVISION_PREFIXES = (r"(?i)^UFC\s+", r"(?i)^Road to UFC\s+\d*\s*", r"(?i)^Ultimate Fighter\s+\d*\s*", r"(?i)\s+Tournament$")
+
+
+def division_name(text: Column) -> Column:
+    """The weight class that a bout's title names, else the title without its series; empty and null: Unknown."""
+    raw = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), DIVISION_WORDS, " "))
+    low, out = F.replace(F.lower(raw), F.lit("womens"), F.lit("women's")), raw
+    for pattern in DIVISION_PREFIXES:
+        out = F.regexp_replace(out, pattern, "")
+    out = F.coalesce(F.nullif(F.trim(out), F.lit("")), F.lit("Unknown"))
+    out = F.when(low.rlike("open ?weight"), "Open Weight").otherwise(out)
+    for name in reversed(DIVISIONS):
+        out = F.when(F.contains(low, F.lit(name.lower())), name).otherwise(out)
+    return F.when(F.contains(low, F.lit("catch")), "Catch Weight").otherwise(out)
