@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fitting, global_rating, identity, text_events
+from ..functions.scalars import division_name
+from ..operators import fitting, global_rating, identity, publishing, text_events
 from ..operators.relational import latest_per_key
 from ..sources.contests import contests, observations, read
+from ..sources.texts import EMAIL, newer_rows, public_emails, versus_pairs
 from .catalog import AS_OF, predictions, query
 
+SPLIT = "1999-01-01"
+
 
 # The global rating: a fold over all contests, tested against a plain loop.
 @query("r02_career_history", dates=("event_date",))
@@ -22,11 +26,21 @@ def r05(spark, d):
     return global_rating.mirrored_differences(r02(spark, d))
 
 
+def fitted(history: DataFrame) -> dict[str, float]:
+    return global_rating.fit_weights(global_rating.mirrored_differences(history), SPLIT)
+
+
+@query("r06_fitted_weights")
+def r06(spark, d):
+    weights = fitted(r02(spark, d).persist())
+    return spark.createDataFrame(list(weights.items()), "measure string, weight double")
+
+
 @query("r09_global_rating")
 def r09(spark, d):
-    history = global_rating.career_history(contests(spark, d))
-    weights = {"skill": 0.45, "resume": 0.2, "schedule": 0.15, "form": 0.12, "finish": 0.08}
-    return global_rating.rated(global_rating.current_measures(history), weights)
+    """Ratings by weights fitted before SPLIT. The fold is kept, since the fit and four aggregates read it."""
+    history = r02(spark, d).persist()
+    return global_rating.rated(global_rating.current_measures(history), fitted(history))
 
 
 R10 = """x as (select *, row_number() over (partition by entity_id order by event_date desc, seq desc) as rn from obs)
@@ -187,6 +201,44 @@ def x13(spark, d):
     return spark.createDataFrame([(low, high)], "low double, high double")
 
 
+# Names of classes and addresses in pages.
+TITLES = [("Light Heavyweight Bout", "Light Heavyweight"), ("UFC Interim Heavyweight Title Bout", "Heavyweight"), ("Womens Flyweight Bout", "Women's Flyweight"), ("Catch Weight Bout", "Catch Weight"), ("Road to UFC 2 Superfight", "Superfight"), ("", "Unknown")]
+
+
+@query("f09_division_names", f"select o_orderkey, {case('o_orderkey % 6', [r[1] for r in TITLES])} as division from orders", pre=False)
+def f09(spark, d):
+    return topic_rows(spark, d, [r[0] for r in TITLES]).select("o_orderkey", division_name(F.col("t")).alias("division"))
+
+
+@query("s16_public_emails", f"select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(html, '')), '{EMAIL}'))), ' ') as emails from pages", pre=False)
+def s16(spark, d):
+    return read(spark, d, "pages").select("page_id", F.array_join(public_emails(F.col("html")), " ").alias("emails"))
+
+
+@query("s14_versus_pairs", "with x as (select o_orderkey, o_custkey % 10 as a, o_orderkey % 7 as b from orders) select o_orderkey, 'Side ' || a as a, 'Side ' || b as b from x where a <> b", pre=False)
+def s14(spark, d):
+    title = F.concat(F.lit("Side "), (F.col("o_custkey") % 10).cast("string"), F.lit(" vs. Side "), (F.col("o_orderkey") % 7).cast("string"))
+    return versus_pairs(read(spark, d, "orders").select("o_orderkey", title.alias("t")), "o_orderkey", "t")
+
+
+@query("k15_current_takeover", "select event_id, user_id, (event_type = 'purchase' and row_number() over (partition by user_id, event_type = 'purchase' order by ts desc, event_id desc) = 1) as current from events", pre=False)
+def k15(spark, d):
+    rows = read(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("current"))
+    return publishing.current_takeover(rows, "user_id", "current", [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
+@query("k17_matched_load", "with k as (select c_nationkey as n, count(*) as c, min(c_custkey) as t from customer where c_custkey <= 20 group by 1) select s_suppkey, case when c = 1 then t end as c_custkey, case when c = 1 then 'matched' when c > 1 then 'ambiguous' else 'unmatched' end as outcome from supplier left join k on n = s_nationkey", pre=False)
+def k17(spark, d):
+    known = read(spark, d, "customer").where("c_custkey <= 20").select(F.col("c_nationkey").alias("n"), "c_custkey")
+    return publishing.matched_load(read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n")), known, "n", "c_custkey").drop("n")
+
+
+@query("s18_newer_rows", "select o_orderkey, cast(o_orderdate as date) as day from orders where o_orderkey % 2 = 0 or cast(o_orderdate as date) > (select max(cast(o_orderdate as date)) from orders where o_orderkey % 2 = 0)", pre=False, dates=("day",))
+def s18(spark, d):
+    rows = read(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return newer_rows(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1"), "day")
+
+
 # Product views.
 @query("q01_entity_search", "select c_custkey, c_name, c_acctbal from customer where lower(c_name) like '%12%' order by c_acctbal desc, c_custkey limit 20", pre=False)
 def q01(spark, d, text: str = "12", most: int = 20):

@@ -135,7 +135,7 @@ def article_text(html: pd.Series) -> pd.Series:
 
 def versus_pairs(df: DataFrame, key: str, title: str) -> DataFrame:
     """(key, a, b) from titles like 'A vs. B'; each unordered pair once per key, titles with other than two sides go."""
-    sides = F.transform(F.split(F.coalesce(title, F.lit("")), r"(?i)\s+(?:vs?\.?|versus)\s+"), F.trim)
+    sides = F.transform(F.split(F.coalesce(title, F.lit("")), r"(?i)\s+(?:vs?\.?|versus)\s+"), lambda s: F.trim(s))
     rows = df.select(key, sides.alias("s")).where((F.size("s") == 2) & (F.element_at("s", 1) != "") & (F.element_at("s", 2) != ""))
     pair = F.array_sort(F.array(normalize_name(F.element_at("s", 1)), normalize_name(F.element_at("s", 2))))
     return rows.groupBy(key, pair.alias("__p")).agg(F.min("s").alias("s")).where("__p[0] <> __p[1]").select(key, F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))

@@ -27,7 +27,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events".split():
+    for t in "region nation customer supplier part orders lineitem events pages".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(ORACLES[name]).fetchdf())
 
