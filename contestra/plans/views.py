@@ -10,6 +10,7 @@ from ..operators import fitting, global_rating, identity, publishing, text_event
 from ..operators.relational import latest_per_key
 from ..sources.contests import contests, observations, read
 from ..sources.texts import EMAIL, newer_rows, public_emails, versus_pairs
+from ..streaming.results import membership_changes
 from .catalog import AS_OF, predictions, query
 
 SPLIT = "1999-01-01"
@@ -303,3 +304,10 @@ select event_date, n, last_seq, cast(event_date + interval 48 hour as date) as c
 def z06(spark, d, now: str = "1998-06-01"):
     rows = contests(spark, d).groupBy("event_date").agg(F.max("seq").alias("last_seq"), F.count("*").alias("n"))
     return rows.withColumns({"closes": F.date_add("event_date", 2), "open": F.date_add("event_date", 2).cast("timestamp") > F.lit(now).cast("timestamp")})
+
+
+@query("z07_membership_changes", """with b as (select distinct user_id, event_type from events where event_id % 3 = 0), a as (select distinct user_id, event_type from events where event_id % 5 = 0)
+select *, 'added' as change from (select * from a except select * from b) union all select *, 'removed' from (select * from b except select * from a)""", pre=False)
+def z07(spark, d):
+    rows = read(spark, d, "events")
+    return membership_changes(rows.where("event_id % 3 = 0"), rows.where("event_id % 5 = 0"), ["user_id", "event_type"])

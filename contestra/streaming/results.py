@@ -51,3 +51,12 @@ def current_state(spark: SparkSession, path: str, schema: StructType, key: str,
     log = log if before is None else log.where(F.col("batch") < before)
     rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("batch")))
     return log.withColumn("__rn", rn).where("__rn = 1").drop("__rn", "batch")
+
+
+def membership_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change): `added` or `removed` between two states, for use on each batch against the state.
+
+    Repeated rows count once and null keys are equal to each other.
+    """
+    b, a = (df.select(keys).distinct() for df in (before, after))
+    return a.exceptAll(b).withColumn("change", F.lit("added")).unionByName(b.exceptAll(a).withColumn("change", F.lit("removed")))
