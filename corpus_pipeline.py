@@ -13,8 +13,8 @@ from contestra.llm import toxicity
 from contestra.llm.common import read_table, staged, word_count
 from contestra.llm.line_dedup import drop_repeated_lines
 from contestra.llm.mixing import mix_sources
+from contestra.llm.near_copies import near_copies
 from contestra.llm.packing import packed_documents
-from contestra.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,10 +32,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id. Null ids stay unless a group has another."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group of near copies (5-word shingles, similarity 0.8 or more) the document with the smallest doc_id.
+    Null ids stay unless a group has another."""
+    found = staged(near_copies(docs.select(*COLUMNS)), "copies")
+    least = found.groupBy("__root").agg(F.min("doc_id").alias("__id"))
+    keep = found.join(least, "__root").where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    return keep.select(*COLUMNS).dropDuplicates(["doc_id"])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
