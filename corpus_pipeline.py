@@ -32,12 +32,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, similarity 0.8 or more) the document with the smallest doc_id.
-    Null ids stay unless a group has another."""
-    found = staged(near_copies(docs.select(*COLUMNS)), "copies")
-    least = found.groupBy("__root").agg(F.min("doc_id").alias("__id"))
-    keep = found.join(least, "__root").where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    return keep.select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One row of each group of near copies (5-word shingles, similarity 0.8 or more): smallest doc_id, nulls last, then
+    smallest digest of the row. Rows of different groups stay, whatever their doc_ids."""
+    digest = F.md5(F.to_json(F.struct(*COLUMNS)).cast("binary"))
+    found = staged(near_copies(docs.select(*COLUMNS, digest.alias("__digest"))), "copies")
+    least = found.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("least"))
+    least = least.select("__root", F.col("least.__digest").alias("__digest"))
+    # Rows of one digest are equal in every column, so any of them is the same row.
+    return found.join(least, ["__root", "__digest"], "left_semi").dropDuplicates(["__digest"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

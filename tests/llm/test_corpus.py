@@ -67,3 +67,13 @@ def test_near_copies_equal_brute_force(spark, listed):
         want.setdefault(find(i), []).append(i)
     assert sorted(map(sorted, groups.values())) == sorted(want.values())
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_copy_stage_decides_by_row(spark):
+    r = random.Random(5)
+    w = [words(r, 100) for _ in range(6)]
+    near = " ".join(changed(r, w[3], 1))
+    texts = [(None, " ".join(w[0])), (None, " ".join(w[1])), (7, " ".join(w[2])), (7, " ".join(w[3])), (3, near), (None, near), (9, " ".join(w[4])), (9, " ".join(w[4]))]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows_of(texts), COLUMNS), "").collect()
+    want = [(None, texts[0][1]), (None, texts[1][1]), (7, texts[2][1]), (3, near), (9, texts[6][1])]
+    assert sorted(map(repr, [(x.doc_id, x.text) for x in out])) == sorted(map(repr, want))
