@@ -4,7 +4,8 @@ A word enters as a hashed embedding of itself beside the mean of hashed embeddin
 directions run over windows of WIDTH words that overlap by WIDTH - STRIDE; attention pools a window's states and a
 linear unit scores it. A text scores as its worst window, so every word of a text of any length is read. Only labels
 teach: source, language and ids are no inputs. The network is fitted on a bounded sample of labelled texts
-(SAMPLE_DOCS documents, SAMPLE_WINDOWS windows of each, both by hash or even spacing); scoring covers everything.
+(SAMPLE_DOCS documents by hash); every window of these is scored to pick the worst and to set the cut, a few of each
+document take gradient steps. Scoring covers everything.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import read_table
 
 WIDTH, STRIDE = 48, 32
 WORDS, GRAMS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 13, 8, 8, 8
-#: Most documents and windows of each that teach.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 24
+#: Most documents that teach.
+SAMPLE_DOCS = 4000
 LEVEL = 0.3
 #: Words that are scored together.
 CHUNK = 1_000_000
@@ -246,16 +247,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict |
             out = []
             for text in pdf["text"]:
                 words = text.encode().lower().split() if text else []
-                n = windows_of(len(words))
-                pick = range(n) if n <= SAMPLE_WINDOWS else np.linspace(0, n - 1, SAMPLE_WINDOWS).astype(int)
-                out.append([b" ".join(words[i * STRIDE : i * STRIDE + WIDTH]) for i in pick])
+                out.append([b" ".join(words[i * STRIDE : i * STRIDE + WIDTH]) for i in range(windows_of(len(words)))])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "windows": out})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     got = rows.mapInPandas(cut, "doc_id long, toxic int, windows array<binary>").limit(2 * sample).toPandas()
     got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     y = (got["toxic"].to_numpy() > 0).astype(np.int64)
-    p = train([[bytes(w).split() for w in d] for d in got["windows"]], y)
+    pool: dict[bytes, bytes] = {}  # windows share their words
+    p = train([[[pool.setdefault(x, x) for x in bytes(w).split()] for w in d] for d in got["windows"]], y)
     return p if p is not None else float(y.mean()) if len(y) else 0.0
 
 
