@@ -4,7 +4,10 @@ Vectors of one label are dealt to overlapping shards (the nearest of learned cen
 shard with too many vectors to cells that hold every two of its blocks together. Each cell builds a flat graph: of a
 vector's nearest candidates robust pruning keeps those that no kept neighbour already covers. The adjacency lists of all
 cells are then united by vector, and in each cell every vector searches the united graph greedily from the cell's
-medoid and expands what lies in range. Found pairs are verified in double precision. A pair that several cells hold
+medoid and expands what lies in range. A cell holds two blocks at most, so the search is audited there against the
+whole block product, which adds what the graph doesn't reach. Pairs are verified in double precision. Pairs without a
+common shard are audited on sampled vectors against all rows; a label that falls short is searched again as one shard,
+whose cells hold every two blocks together. A pair that several cells hold
 counts in the first only, and cells return counts and spanning trees, so pairs are never listed. Equal vectors are one
 node with a weight.
 """
@@ -24,6 +27,8 @@ from .common import connected_components, read_table, staged
 PER_SHARD, MOST_SHARDS, OVERLAP, SLACK = 1500, 512, 4, 0.12
 #: Vectors in a block of a cell; a cell has two blocks at most.
 BLOCK = 2000
+#: Vectors that are compared with all rows after the search.
+AUDITED = 2000
 FIT_ROWS = 20_000
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 24
 #: Expansion passes through vectors this much below the threshold.
@@ -58,7 +63,8 @@ def _spread(starts, lists, nodes):
 
 
 def range_search(x: np.ndarray, starts: np.ndarray, lists: np.ndarray, threshold: float, beam: int = BEAM, chunk: int = 256):
-    """Yields (rows, rows) found at `threshold` or nearer: every row searches from the medoid, then expands."""
+    """Yields (rows, rows) at `threshold` or nearer: every row searches from the medoid, then expands; an exact product
+    of its chunk with all rows adds what that missed."""
     n, x32 = len(x), x.astype(np.float32)
     medoid = int(np.argmax(x @ x.mean(0)))
     for lo in range(0, n, chunk):
@@ -92,6 +98,7 @@ def range_search(x: np.ndarray, starts: np.ndarray, lists: np.ndarray, threshold
             at, nb = _spread(starts, lists, nodes)
             visit(rows[at], nb)
             rows, nodes = np.nonzero(open_ & (near >= threshold - REACH))
+        np.maximum(near, x32[q] @ x32.T, out=near)  # the audit: tight groups are islands in the graph
         rows, nodes = np.nonzero(near >= threshold - 1e-4)
         for i in range(0, len(rows), 200_000):
             a, b = q[rows[i : i + 200_000]], nodes[i : i + 200_000]
@@ -117,12 +124,13 @@ def centroids_of(sample: pd.DataFrame, sizes: dict, per_shard: int, most: int, s
     return out
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.93, per_shard: int = PER_SHARD) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.93, per_shard: int = PER_SHARD, whole: frozenset = frozenset()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of table(vec_id, label, embedding).
 
     Rows link when their labels are equal and their cosine is at least threshold. Null labels, null ids and unusable
     vectors link with nothing; their component is their own id. Shorter vectors are padded with zeros. Rows with
-    equal vectors link with each other, repeated rows included. An empty table gives an empty one.
+    equal vectors link with each other, repeated rows included. Labels in `whole` are one shard each, so that no pair
+    of theirs is missed. An empty table gives an empty one.
     """
     spark = table.sparkSession
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding"))
@@ -142,7 +150,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, per_shard: int = PER
 
     sample = hashed_sample(groups, "digest", sum(sizes.values()), FIT_ROWS).select("digest", "label", "v").toPandas().sort_values("digest", ignore_index=True)
     sample["v"] = list(unit(sample["v"]))
-    shared = spark.sparkContext.broadcast(centroids_of(sample, sizes, per_shard, MOST_SHARDS))
+    shared = spark.sparkContext.broadcast(centroids_of(sample, sizes, per_shard, MOST_SHARDS) | dict.fromkeys(whole))
 
     def deal(batches):
         for pdf in batches:
@@ -245,6 +253,42 @@ def audit_recall(table: DataFrame, result: DataFrame, threshold: float = 0.93, m
     return (got[1] or 0) / got[0] if got[0] else 1.0
 
 
+def short_labels(table: DataFrame, result: DataFrame, threshold: float = 0.93, most: int = AUDITED) -> frozenset:
+    """Labels in which a vector, of up to `most` chosen by hash, has more true links among all rows than were found."""
+    ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding"))
+    valid = table.where(ok).select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    dim = valid.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0]
+
+    def unit(v) -> np.ndarray:
+        out = np.zeros((len(v), dim))
+        for i, x in enumerate(v):
+            out[i, : len(x)] = x / np.abs(x).max()
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+    chosen = valid.orderBy(F.xxhash64("id"), "id").limit(most).toPandas().drop_duplicates("id")
+    shared = table.sparkSession.sparkContext.broadcast((chosen["id"].to_numpy(), chosen["label"].to_numpy(), unit(chosen["v"])))
+
+    def count(batches):
+        ids, labels, x = shared.value
+        for pdf in batches:
+            y, of, own = unit(pdf["v"]), pdf["label"].to_numpy(), pdf["id"].to_numpy()
+            for label in np.unique(of):
+                a, b = np.nonzero(labels == label)[0], of == label
+                near = (x[a] @ y[b].T >= threshold) & (ids[a][:, None] != own[b])
+                yield pd.DataFrame({"vec_id": ids[a], "label": label, "n": near.sum(1)})
+
+    true = valid.mapInPandas(count, "vec_id long, label long, n long").groupBy("vec_id", "label").agg(F.sum("n").alias("n"))
+    got = result.groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
+    return frozenset(r["label"] for r in true.join(got, "vec_id").where("n > n_links").select("label").distinct().collect())
+
+
+def audited_vectors(table: DataFrame, threshold: float = 0.93, per_shard: int = PER_SHARD) -> DataFrame:
+    """near_vectors, again with whole labels where the audit finds a link missing."""
+    out = staged(near_vectors(table, threshold, per_shard), "found")
+    short = short_labels(table, out, threshold)
+    return near_vectors(table, threshold, per_shard, short) if short else out
+
+
 def op10_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings with their links at cosine 0.93 within a label and their component."""
-    return near_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return audited_vectors(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
