@@ -3,7 +3,8 @@
 Texts whose sets of WIDTH-word shingles have a Jaccard similarity of at least SIMILAR (4/5) link. Of a set of n shingles
 in one global order the first n // 5 + 1 are its keys: sets that similar share a key, whatever the order. The order puts
 shingles that a sample of texts shows to be common last, which keeps few sets under a key; no result depends on it. Pairs
-that meet under a key are verified on the whole sets. Under a crowded key all sets first pair with a few hubs, and
+that meet under a key are verified on the whole sets, once the sizes of the sets' BUCKETS parts allow it (the difference
+of two sets is at least the sum of the differences in size of their parts). Under a crowded key all sets first pair with a few hubs, and
 then only those that are still in different components with each other, so no pair that could join two is left out.
 """
 
@@ -24,6 +25,9 @@ WIDTH = 5
 LISTED, HUBS = 24, 3
 #: Texts that show which shingles are common, and most shingles that count as such.
 SAMPLE, COMMON = 4000, 200_000
+BUCKETS = 128
+#: Ids that may be broadcast to fetch texts; more are joined.
+FEW_IDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -57,6 +61,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Sizes, 255 at most, of the parts of a set by the low bits of its hashes."""
+    return np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def _close(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
@@ -80,7 +89,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """docs with __set (hash of the set of shingles), __n (its size) and __keys."""
+    """docs with __set (hash of the set of shingles), __n (its size), __sketch and __keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # COMMON at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,21 +97,22 @@ def with_sets(docs: DataFrame) -> DataFrame:
         seen: dict[bytes, int] = {}
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
-                part, ids, sizes, keys = pdf.iloc[lo : lo + 1000].copy(), [], [], []
+                part, ids, sizes, parts, keys = pdf.iloc[lo : lo + 1000].copy(), [], [], [], []
                 for text in part["text"]:
                     s = shingles(text, seen)
                     ids.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                     sizes.append(len(s))
+                    parts.append(sketch(s))
                     p = len(s) // 5 + 1
                     if len(common) and len(s):
                         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                         s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
                     keys.append(s[:p].view(np.int64))
-                part["__set"], part["__n"], part["__keys"] = np.array(ids, np.uint64).view(np.int64), sizes, keys
+                part["__set"], part["__n"], part["__sketch"], part["__keys"] = np.array(ids, np.uint64).view(np.int64), sizes, parts, keys
                 yield part
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, fields + ", __set long, __n long, __keys array<long>")
+    return docs.mapInPandas(run, fields + ", __set long, __n long, __sketch binary, __keys array<long>")
 
 
 def _meet(batches: Iterator[pd.DataFrame], listed: int) -> Iterator[pd.DataFrame]:
@@ -115,6 +125,9 @@ def _meet(batches: Iterator[pd.DataFrame], listed: int) -> Iterator[pd.DataFrame
     parts.clear()
     order = np.lexsort((ids, n, key))
     key, ids, n = key[order], ids[order], n[order]
+    first = np.ones(len(key), bool)  # rows of equal sets meet once
+    first[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, ids, n = key[first], ids[first], n[first]
     starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
     sizes = np.diff(np.r_[starts, len(key)])
     left, right = [], []
@@ -140,9 +153,27 @@ def _meet(batches: Iterator[pd.DataFrame], listed: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"hot": True, "a": key[k], "b": ids[k], "n": n[k]})
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v) of the pairs(u, v) that are similar; texts(id, text) has a text of every set."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+def _few(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, v) of the pairs(u, v) of sets that are similar; rows have a text and the sketch of every set."""
+    sketches = rows.select(F.col("__set").alias("id"), F.col("__n").alias("n"), F.col("__sketch").alias("s")).join(_few(pairs), "id", "left_semi").dropDuplicates(["id"])
+
+    def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in "xy")
+                good = 9 * np.abs(x - y).sum(1) <= (pdf["n"] + pdf["m"]).to_numpy()  # similarity 4/5: a ninth differs
+                yield pdf.loc[good, ["u", "v"]]
+
+    both = pairs.join(sketches.select(F.col("id").alias("u"), "n", F.col("s").alias("x")), "u").join(sketches.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("s").alias("y")), "v")
+    pairs = staged(both.mapInPandas(allowed, "u long, v long"), "likely")
+    named = rows.select(F.col("__set").alias("id"), F.col("__row").alias("row")).join(_few(pairs), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
+    named = staged(named, "named")
+    texts = rows.select(F.col("__set").alias("id"), F.col("__row").alias("row"), "text")
+    texts = texts.join(F.broadcast(named.select("row")) if named.count() <= FEW_IDS else named.select("row"), "row", "left_semi").select("id", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
@@ -156,22 +187,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[np.array(good, bool), ["u", "v"]]
 
-    found = staged(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, s binary"), "sets")
+    found = staged(texts.mapInPandas(sets, "id long, s binary"), "sets")
     sides = pairs.join(found.select(F.col("id").alias("u"), F.col("s").alias("x")), "u").join(found.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
     return staged(sides.mapInPandas(check, "u long, v long"), "similar")
 
 
-def near_copies(docs: DataFrame, listed: int = LISTED) -> DataFrame:
-    """Rows of docs with __set and __root: rows of equal __root are connected by near copies, equal sets included.
+def near_copies(docs: DataFrame, listed: int = LISTED) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): docs, staged, with __row, and of each row all but the text, with __set and __root.
 
-    All word-free and null texts have the empty set. An empty table gives an empty one.
+    Rows of equal __root are connected by near copies, equal sets included. All word-free and null texts have the empty set. An empty table gives empty ones.
     """
-    rows = staged(with_sets(docs), "near")
-    sets = rows.select(F.col("__set").alias("id"), F.col("__n").alias("n"), F.col("__keys").alias("keys")).dropDuplicates(["id"])
-    keyed = sets.select("id", "n", F.explode("keys").alias("key")).repartition("key")
+    rows = staged(with_sets(docs).withColumn("__row", F.monotonically_increasing_id()), "near")
+    keyed = rows.select(F.col("__set").alias("id"), F.col("__n").alias("n"), F.explode("__keys").alias("key")).repartition("key")
     met = staged(keyed.mapInPandas(lambda batches: _meet(batches, listed), "hot boolean, a long, b long, n long"), "met")
-    texts = rows.select(F.col("__set").alias("id"), "text")
-    links = _verified(staged(met.where("not hot").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs"), texts)
+    links = _verified(staged(met.where("not hot").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs"), rows)
     roots = connected_components(links)
     hot = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), "n")
     hot = hot.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
@@ -182,6 +211,6 @@ def near_copies(docs: DataFrame, listed: int = LISTED) -> DataFrame:
         other = hot.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
         more = hot.join(other, "key").where((F.col("root") != F.col("other")) & (F.col("id") < F.col("v")) & _close(F.col("n"), F.col("m")))
         more = staged(more.select(F.col("id").alias("u"), "v").distinct(), "pairs")
-        roots = connected_components(links.unionByName(_verified(more, texts)))
-    out = rows.drop("__n", "__keys").join(roots, F.col("__set") == F.col("node"), "left")
-    return out.withColumn("__root", F.coalesce("root", "__set")).drop("node", "root")
+        roots = connected_components(links.unionByName(_verified(more, rows)))
+    out = rows.drop("text", "__n", "__sketch", "__keys").join(roots, F.col("__set") == F.col("node"), "left")
+    return rows, out.withColumn("__root", F.coalesce("root", "__set")).drop("node", "root")

@@ -35,11 +35,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near copies (5-word shingles, similarity 0.8 or more): smallest doc_id, nulls last, then
     smallest digest of the row. Rows of different groups stay, whatever their doc_ids."""
     digest = F.md5(F.to_json(F.struct(*COLUMNS)).cast("binary"))
-    found = staged(near_copies(docs.select(*COLUMNS, digest.alias("__digest"))), "copies")
-    least = found.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("least"))
-    least = least.select("__root", F.col("least.__digest").alias("__digest"))
-    # Rows of one digest are equal in every column, so any of them is the same row.
-    return found.join(least, ["__root", "__digest"], "left_semi").dropDuplicates(["__digest"]).select(*COLUMNS)
+    rows, groups = near_copies(docs.select(*COLUMNS, digest.alias("__digest")))
+    least = groups.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest", "__row")).alias("least"))
+    # Rows of one digest are equal in every column, so it doesn't matter which of them __row takes.
+    return rows.join(least.select(F.col("least.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
