@@ -12,9 +12,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one is set here for a driver that
+    is its own only executor (tests); on a cluster a missing setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file:///tmp/checkpoints/contestra"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
@@ -39,6 +42,13 @@ def unstage(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bounds the bytes of rows that Spark hands to Python at once, unless the session has a bound of its own. Spark's
+    bound on their number lets a few long texts fill a worker's memory."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

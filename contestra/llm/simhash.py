@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, read_table, staged
+from .common import bounded_batches, connected_components, read_table, staged
 
 #: Candidate pairs under one key beyond which it counts as hot.
 HOT_PAIRS = 1024
@@ -27,6 +27,13 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _PLACE = (np.arange(8, dtype=np.uint16) * 256)[None, :]
 
 
+def majority(hashes: bytes) -> int:
+    """Bits set in over half of the 64-bit hashes (big-endian); 0 for none."""
+    table = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    counts = np.bincount((table + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return int.from_bytes(np.packbits((counts * 2 > len(table)).ravel()).tobytes(), "big")
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """Bits set in over half the XXH64 of the text's shingles; 0 for null, empty and word-free texts."""
     words = text.encode().lower().split() if text else []
@@ -38,13 +45,12 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         hashes = digest(b" ".join(words), seed)
     else:
         hashes = b"".join([digest(b" ".join(s), seed) for s in zip(*(words[i:] for i in range(width)), strict=False)])
-    table = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    counts = np.bincount((table + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits((counts * 2 > n).ravel()).tobytes(), "big")
+    return majority(hashes)
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
