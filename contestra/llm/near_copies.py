@@ -1,11 +1,14 @@
-"""Near copies by an exact set-similarity join on word shingles.
-
-Texts whose sets of WIDTH-word shingles have a Jaccard similarity of at least SIMILAR (4/5) link. Of a set of n shingles
-in one global order the first n // 5 + 1 are its keys: sets that similar share a key, whatever the order. The order puts
-shingles that a sample of texts shows to be common last, which keeps few sets under a key; no result depends on it. Pairs
-that meet under a key are verified on the whole sets, once the sizes of the sets' BUCKETS parts allow it (the difference
-of two sets is at least the sum of the differences in size of their parts). Under a crowded key all sets first pair with a few hubs, and
-then only those that are still in different components with each other, so no pair that could join two is left out.
+"""Near copies: SimHash links, and an exact set-similarity join on word shingles for what fingerprints don't hold.
+
+Texts whose sets of WIDTH-word shingles have a Jaccard similarity of at least SIMILAR (4/5) link. Two such sets differ in
+about 10 of 64 fingerprint bits, more than a multi-index can probe, so candidates come in two ways: sets whose
+fingerprints meet in the SimHash index, and sets that share a key. Of a set of n shingles in one global order the first
+n // 5 + 1 are its keys: sets that similar share a key, whatever the order. The order puts shingles that a sample of
+texts shows to be common last, which keeps few sets under a key; no result depends on it. Candidates are verified on the
+whole sets, once the sizes of the sets' BUCKETS parts allow it (the difference of two sets is at least the sum of the
+differences in size of their parts). Under a key all sets first pair with a hub; the other pairs are verified only if
+their ends are then still in different components, so no pair that could join two is left out, and a group of near
+copies costs about one verification a member.
 """
 
 from __future__ import annotations
@@ -18,17 +21,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import bounded_batches, connected_components, staged, unstage
+from .simhash import majority, near_links
 
 WIDTH = 5
-#: Sets under one key whose pairs are all listed at once, and hubs of a larger group.
+#: Sets under one key whose pairs are all listed, and hubs of a larger group.
 LISTED, HUBS = 24, 3
 #: Texts that show which shingles are common, and most shingles that count as such.
 SAMPLE, COMMON = 4000, 200_000
 BUCKETS = 128
-#: Ids that may be broadcast to fetch texts; more are joined.
+#: Ids that may be broadcast; more are joined.
 FEW_IDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+FIRST, LATER, CROWD = 0, 1, 2
 
 
 def shingles(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
@@ -77,9 +82,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                found = [shingles(t, seen) for t in pdf["text"].iloc[lo : lo + 500]]
-                yield pd.DataFrame({"s": np.concatenate(found).view(np.int64)})
+            if len(pdf):
+                yield pd.DataFrame({"s": np.concatenate([shingles(t, seen) for t in pdf["text"]]).view(np.int64)})
 
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInPandas(run, "s long")
     found = sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).toPandas()
@@ -88,36 +92,39 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return s[order], n[order]
 
 
-def with_sets(docs: DataFrame) -> DataFrame:
-    """docs with __set (hash of the set of shingles), __n (its size), __sketch and __keys."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # COMMON at most
+def with_sets(rows: DataFrame) -> DataFrame:
+    """rows, without their text, with __set (hash of the set of shingles), __n (its size), __sketch, __fp (fingerprint)
+    and __keys."""
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))  # COMMON at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, counts = shared.value
         seen: dict[bytes, int] = {}
         for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part, ids, sizes, parts, keys = pdf.iloc[lo : lo + 1000].copy(), [], [], [], []
-                for text in part["text"]:
-                    s = shingles(text, seen)
-                    ids.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
-                    sizes.append(len(s))
-                    parts.append(sketch(s))
-                    p = len(s) // 5 + 1
-                    if len(common) and len(s):
-                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
-                    keys.append(s[:p].view(np.int64))
-                part["__set"], part["__n"], part["__sketch"], part["__keys"] = np.array(ids, np.uint64).view(np.int64), sizes, parts, keys
-                yield part
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, fields + ", __set long, __n long, __sketch binary, __keys array<long>")
+            ids, sizes, parts, prints, keys = [], [], [], [], []
+            for text in pdf["text"]:
+                s = shingles(text, seen)
+                ids.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
+                sizes.append(len(s))
+                parts.append(sketch(s))
+                prints.append(majority(s.astype(">u8").tobytes()))
+                p = len(s) // 5 + 1
+                if len(common) and len(s):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+                keys.append(s[:p].view(np.int64))
+            out = pdf.drop(columns="text")
+            out["__set"], out["__n"], out["__sketch"], out["__keys"] = np.array(ids, np.uint64).view(np.int64), sizes, parts, keys
+            out["__fp"] = np.array(prints, np.uint64).view(np.int64)
+            yield out
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    return rows.mapInPandas(run, fields + ", __set long, __n long, __sketch binary, __keys array<long>, __fp long")
 
 
 def _meet(batches: Iterator[pd.DataFrame], listed: int) -> Iterator[pd.DataFrame]:
-    """Within one partition, which holds all rows of its keys: pairs of sets (hot false), and key, set and size of
-    those under crowded keys (hot true) besides their pairs with the hubs."""
+    """Within one partition, which holds all rows of its keys: pairs of sets with a hub (FIRST), the other pairs of those
+    under a key (LATER), and for crowded keys instead of the latter key, set and size (CROWD)."""
     parts = [(p["key"].to_numpy(), p["id"].to_numpy(), p["n"].to_numpy()) for p in batches]
     if not parts:
         return
@@ -130,87 +137,127 @@ def _meet(batches: Iterator[pd.DataFrame], listed: int) -> Iterator[pd.DataFrame
     key, ids, n = key[first], ids[first], n[first]
     starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
     sizes = np.diff(np.r_[starts, len(key)])
-    left, right = [], []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= listed)]):
-        at = starts[sizes == size, None] + np.arange(size)
-        i, j = np.triu_indices(size, 1)
-        left.append(at[:, i].ravel())
-        right.append(at[:, j].ravel())
-    for start, size in zip(starts[sizes > listed].tolist(), sizes[sizes > listed].tolist(), strict=True):
-        for hub in range(HUBS):
-            left.append(np.full(size, start + size * (2 * hub + 1) // (2 * HUBS)))
-            right.append(np.arange(start, start + size))
-    if left:
+
+    def out(kind, left, right):
+        if not left:
+            return
         a, b = np.concatenate(left), np.concatenate(right)
         good = (ids[a] != ids[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
         a, b = ids[a[good]], ids[b[good]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         for i in range(0, len(pairs), 100_000):
-            yield pd.DataFrame({"hot": False, "a": pairs[i : i + 100_000, 0], "b": pairs[i : i + 100_000, 1], "n": 0})
+            yield pd.DataFrame({"kind": kind, "a": pairs[i : i + 100_000, 0], "b": pairs[i : i + 100_000, 1], "n": 0})
+
+    hub, member, left, right = [], [], [], []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= listed)]):
+        at = starts[sizes == size, None] + np.arange(size)
+        hub.append(np.repeat(at[:, size // 2], size))
+        member.append(at.ravel())
+        if size > 2:
+            i, j = np.triu_indices(size, 1)
+            i, j = i[(i != size // 2) & (j != size // 2)], j[(i != size // 2) & (j != size // 2)]
+            left.append(at[:, i].ravel())
+            right.append(at[:, j].ravel())
+    for start, size in zip(starts[sizes > listed].tolist(), sizes[sizes > listed].tolist(), strict=True):
+        for k in range(HUBS):
+            hub.append(np.full(size, start + size * (2 * k + 1) // (2 * HUBS)))
+            member.append(np.arange(start, start + size))
+    yield from out(FIRST, hub, member)
+    yield from out(LATER, left, right)
     at = np.nonzero(np.repeat(sizes > listed, sizes))[0]
     for i in range(0, len(at), 100_000):
         k = at[i : i + 100_000]
-        yield pd.DataFrame({"hot": True, "a": key[k], "b": ids[k], "n": n[k]})
+        yield pd.DataFrame({"kind": CROWD, "a": key[k], "b": ids[k], "n": n[k]})
 
 
-def _few(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+def _small(df: DataFrame) -> DataFrame:
+    """df, staged, to be broadcast if it is known to be small."""
+    return F.broadcast(df) if df.count() <= FEW_IDS else df
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(u, v) of the pairs(u, v) of sets that are similar; rows have a text and the sketch of every set."""
-    sketches = rows.select(F.col("__set").alias("id"), F.col("__n").alias("n"), F.col("__sketch").alias("s")).join(_few(pairs), "id", "left_semi").dropDuplicates(["id"])
+def _verified(pairs: DataFrame, rows: DataFrame, sig: DataFrame, repeated: bool) -> DataFrame:
+    """(u, v), staged, of the pairs(u, v) of sets that are similar; sig has a row of rows(__row, text) for every set.
+    repeated: whether a __row may stand for several rows."""
+    few = staged(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "few")
+    one = sig.join(_small(few), F.col("__set") == F.col("id"), "left_semi").groupBy(F.col("__set").alias("id")).agg(F.min_by(F.struct("__n", "__sketch", "__row"), "__row").alias("r"))
+    one = staged(one.select("id", "r.*"), "sketches")
 
     def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in "xy")
-                good = 9 * np.abs(x - y).sum(1) <= (pdf["n"] + pdf["m"]).to_numpy()  # similarity 4/5: a ninth differs
-                yield pdf.loc[good, ["u", "v"]]
+                n, m = pdf["n"].to_numpy(), pdf["m"].to_numpy()
+                good = 9 * np.abs(x - y).sum(1) <= n + m  # similarity 4/5: a ninth differs
+                yield pdf.loc[good & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)), ["u", "v"]]
 
-    both = pairs.join(sketches.select(F.col("id").alias("u"), "n", F.col("s").alias("x")), "u").join(sketches.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("s").alias("y")), "v")
-    pairs = staged(both.mapInPandas(allowed, "u long, v long"), "likely")
-    named = rows.select(F.col("__set").alias("id"), F.col("__row").alias("row")).join(_few(pairs), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row"))
-    named = staged(named, "named")
-    texts = rows.select(F.col("__set").alias("id"), F.col("__row").alias("row"), "text")
-    texts = texts.join(F.broadcast(named.select("row")) if named.count() <= FEW_IDS else named.select("row"), "row", "left_semi").select("id", "text")
+    both = pairs.join(one.select(F.col("id").alias("u"), F.col("__n").alias("n"), F.col("__sketch").alias("x")), "u")
+    both = both.join(one.select(F.col("id").alias("v"), F.col("__n").alias("m"), F.col("__sketch").alias("y")), "v")
+    likely = staged(both.mapInPandas(allowed, "u long, v long"), "likely")
+    named = one.join(likely.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
+    named = staged(named.select("id", "__row"), "named")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
-                yield pd.DataFrame({"id": part["id"], "s": [shingles(t, seen).tobytes() for t in part["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t, seen).tobytes() for t in pdf["text"]]})
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[np.array(good, bool), ["u", "v"]]
 
-    found = staged(texts.mapInPandas(sets, "id long, s binary"), "sets")
-    sides = pairs.join(found.select(F.col("id").alias("u"), F.col("s").alias("x")), "u").join(found.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
-    return staged(sides.mapInPandas(check, "u long, v long"), "similar")
+    found = rows.select("__row", "text").join(_small(named), "__row").mapInPandas(sets, "id long, s binary")
+    found = staged(found.dropDuplicates(["id"]) if repeated else found, "sets")
+    sides = found.select(F.col("id").alias("u"), F.col("s").alias("x")).join(_small(likely), "u").join(found.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
+    out = staged(sides.mapInPandas(check, "u long, v long"), "similar")
+    unstage(few, one, likely, named, found)
+    return out
+
+
+def _pairs_by_print(sig: DataFrame) -> DataFrame:
+    """(u, v): pairs of sets whose fingerprints are equal or linked in the SimHash index."""
+    prints = staged(sig.groupBy("__fp").agg(F.min("__set").alias("top")), "prints")
+    same = sig.join(prints, "__fp").where("__set <> top").select(F.col("__set").alias("u"), F.col("top").alias("v"))
+    near = near_links(prints.select(F.col("__fp").alias("fp")))
+    near = near.join(prints.select(F.col("__fp").alias("u"), F.col("top").alias("a")), "u").join(prints.select(F.col("__fp").alias("v"), F.col("top").alias("b")), "v")
+    return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_copies(docs: DataFrame, listed: int = LISTED) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): docs, staged, with __row, and of each row all but the text, with __set and __root.
+    """(rows, groups): docs with __row (a digest of all columns), and of each row all but the text, with __row, __set and __root.
 
-    Rows of equal __root are connected by near copies, equal sets included. All word-free and null texts have the empty set. An empty table gives empty ones.
+    Rows of equal __root are connected by near copies, equal sets included. All word-free and null texts have the empty
+    set. Rows that are equal in every column share their __row. An empty table gives empty ones.
     """
-    rows = staged(with_sets(docs).withColumn("__row", F.monotonically_increasing_id()), "near")
-    keyed = rows.select(F.col("__set").alias("id"), F.col("__n").alias("n"), F.explode("__keys").alias("key")).repartition("key")
-    met = staged(keyed.mapInPandas(lambda batches: _meet(batches, listed), "hot boolean, a long, b long, n long"), "met")
-    links = _verified(staged(met.where("not hot").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "pairs"), rows)
-    roots = connected_components(links)
-    hot = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id"), "n")
-    hot = hot.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    bounded_batches(docs.sparkSession)
+    rows = docs.withColumn("__row", F.md5(F.to_json(F.struct(*docs.columns)).cast("binary")))
+    sig = staged(with_sets(rows), "near")
+    reps = sig.groupBy("__set", "__row").agg(F.count("*").alias("n")).groupBy("__set").agg(F.min("__row").alias("__row"), (F.max("n") > 1).alias("repeated"))
+    reps = staged(reps, "reps")  # copies probe once
+    repeated = not reps.where("repeated").isEmpty()
+    keyed = sig.join(_small(reps), ["__set", "__row"], "left_semi").select(F.col("__set").alias("id"), F.col("__n").alias("n"), F.explode("__keys").alias("key")).repartition("key")
+    met = staged(keyed.mapInPandas(lambda batches: _meet(batches, listed), "kind int, a long, b long, n long"), "met")
+    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    first = met.where(F.col("kind") == FIRST).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_pairs_by_print(sig).select(*ends))
+    first = staged(first.distinct(), "pairs")
+    links = _verified(first, rows, sig, repeated)
+    roots = staged(connected_components(links), "roots")
+
+    def rooted(df: DataFrame, id_: str, out: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(id_), F.col("root").alias(out)), id_, "left").withColumn(out, F.coalesce(out, id_))
+
+    later = met.where(F.col("kind") == LATER).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    later = rooted(rooted(later, "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
+    hot = rooted(met.where(F.col("kind") == CROWD).select(F.col("a").alias("key"), F.col("b").alias("id"), "n"), "id", "root")
     # Only keys that still hold several components; in a group of near copies that the hubs reach there are none.
     split = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     hot = staged(hot.join(split, "key", "left_semi"), "split")
-    if not hot.isEmpty():
-        other = hot.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-        more = hot.join(other, "key").where((F.col("root") != F.col("other")) & (F.col("id") < F.col("v")) & _close(F.col("n"), F.col("m")))
-        more = staged(more.select(F.col("id").alias("u"), "v").distinct(), "pairs")
-        roots = connected_components(links.unionByName(_verified(more, rows)))
-    out = rows.drop("text", "__n", "__sketch", "__keys").join(roots, F.col("__set") == F.col("node"), "left")
+    other = hot.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
+    crowd = hot.join(other, "key").where((F.col("root") != F.col("other")) & (F.col("id") < F.col("v")) & _close(F.col("n"), F.col("m")))
+    more = later.unionByName(crowd.select(F.col("id").alias("u"), "v")).distinct().join(first, ["u", "v"], "left_anti")
+    more = staged(more, "pairs")
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(_verified(more, rows, sig, repeated)))
+    unstage(reps, met, first, hot, more)
+    out = sig.drop("__n", "__sketch", "__keys", "__fp").join(roots, F.col("__set") == F.col("node"), "left")
     return rows, out.withColumn("__root", F.coalesce("root", "__set")).drop("node", "root")
