@@ -34,11 +34,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (5-word shingles, similarity 0.8 or more): smallest doc_id, nulls last, then
     smallest digest of the row. Rows of different groups stay, whatever their doc_ids."""
-    digest = F.md5(F.to_json(F.struct(*COLUMNS)).cast("binary"))
-    rows, groups = near_copies(docs.select(*COLUMNS, digest.alias("__digest")))
-    least = groups.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest", "__row")).alias("least"))
-    # Rows of one digest are equal in every column, so it doesn't matter which of them __row takes.
-    return rows.join(least.select(F.col("least.__row").alias("__row")), "__row", "left_semi").select(*COLUMNS)
+    rows, groups = near_copies(docs.select(*COLUMNS))
+    least = groups.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least"))
+    kept = least.select(F.col("least.__row").alias("__row")).join(groups.groupBy("__row").agg(F.count("*").alias("__n")), "__row")
+    rows = rows.join(kept, "__row")
+    # Rows of one digest are equal in every column, so it doesn't matter which of them stays.
+    return rows.where("__n = 1").unionByName(rows.where("__n > 1").dropDuplicates(["__row"])).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
