@@ -15,12 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, word_count
+from .common import read_table, staged, unstage, word_count
 
 #: Patterns and sources that the driver solves over; more raise an error.
 MAX_PATTERNS = 100_000
-#: Documents that may be taken out of order to come near a target.
-FILLS = 6
+#: A pattern's gap counts as closed at this part of what it was to send.
+NEAR = 2000
 
 
 def capped_targets(sizes: dict, weights: dict, repeats: int) -> dict:
@@ -106,8 +106,13 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, weights, repeats
     new = ("size", "source_size", "target", "copies", "taken")
     keep = [c for c in docs.columns if c not in new]
     marked = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.when(s.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), s)))))
-    base = docs.select(*keep, F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.coalesce(F.to_json(marked), F.lit("[]")).alias("__p"), F.coalesce(marked, F.array().cast("array<string>")).alias("__m"))
-    totals = base.groupBy("__p").agg(F.sum("size").alias("b"), F.first("__m").alias("m")).limit(MAX_PATTERNS + 1).collect()
+    pattern = F.coalesce(F.to_json(marked), F.lit("[]"))
+    draw = F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit(seed))
+    tokens = F.coalesce(size, F.lit(0)).cast("long")
+    # What is drawn together, without the documents' other columns: texts are read here and for the result only.
+    units = docs.select(pattern.alias("__p"), draw.alias("__h"), marked.alias("__m"), tokens.alias("size"))
+    units = staged(units.groupBy("__p", "__h").agg(F.sum("size").alias("size"), F.first("__m").alias("__m")), "units")
+    totals = units.groupBy("__p").agg(F.sum("size").alias("b"), F.first(F.coalesce("__m", F.array().cast("array<string>"))).alias("m")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     supply = {r["__p"]: r["b"] for r in totals}
@@ -138,49 +143,79 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, weights, repeats
         ),
         "__p string, source_size long, target double, __whole long, __rest long",
     )
-    order = F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit(seed))
-    base = base.drop("__m").withColumn("__h", order)
-    light = base.select("__p", "__h", "size").join(F.broadcast(plan.where("__rest > 0").select("__p", "__rest")), "__p").where("size > 0")
-    light = staged(light, "mix")  # at most MAX_PATTERNS rows were broadcast
+    # At most MAX_PATTERNS rows are broadcast.
+    light = units.join(F.broadcast(plan.where("__rest > 0").select("__p", "__rest")), "__p").where("size > 0").select("__p", "__h", "size", "__rest")
     chosen = F.broadcast(plan.join(_cuts(light), "__p", "left"))
-    once = F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)).cast("long") + F.coalesce(F.array_contains("__fills", F.col("__h")), F.lit(False)).cast("long")
-    copies = F.when(F.col("size") > 0, F.col("__whole") + once).otherwise(F.lit(0))
-    out = base.join(chosen, "__p").withColumn("copies", copies)
+    once = F.coalesce(_taken(), F.lit(False)).cast("long")
+    base = docs.select(*keep, tokens.alias("size"), pattern.alias("__p"), draw.alias("__h"))
+    out = base.join(chosen, "__p").withColumn("copies", F.when(F.col("size") > 0, F.col("__whole") + once).otherwise(F.lit(0)))
     return out.select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _taken() -> Column:
+    """Whether a unit is taken once more than its whole pattern."""
+    return ((F.col("__h") <= F.col("__cut")) & ~F.array_contains("__drops", F.col("__h"))) | F.array_contains("__adds", F.col("__h"))
+
+
 def _cuts(light: DataFrame) -> DataFrame:
-    """(__p, __cut, __fills): a pattern's rows up to hash __cut come to at most __rest tokens; __fills are hashes of up
-    to FILLS later rows, each the one that brings the sum nearest to __rest."""
-    bucket = F.shiftright("__h", 52)  # 2^12 buckets in the order of the hash
+    """(__p, __cut, __adds, __drops): a pattern's units up to hash __cut come to at most __rest tokens. The gap that
+    stays is closed by single changes, each a unit to add, to drop or to swap for another, as long as one brings the
+    sum nearer and the gap is over 1/NEAR of __rest."""
     upto = Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = light.groupBy("__p", "__rest", bucket.alias("__b")).agg(F.sum("size").alias("__t"))
-    buckets = buckets.withColumn("__from", F.coalesce(F.sum("__t").over(upto), F.lit(0)))
-    at = buckets.where("__from <= __rest and __from + __t > __rest").groupBy("__p").agg(F.min("__b").alias("__b"), F.min_by("__from", "__b").alias("__from"))
-    inside = light.withColumn("__b", bucket).join(F.broadcast(at), ["__p", "__b"])  # a row a pattern
+    inside, at = light.withColumn("__from", F.lit(0).cast("long")), None
+    for shift in (52, 40):  # 2^12 buckets in the order of the hash, then as many of the one that holds the cut
+        inside = inside.withColumn("__b", F.shiftright("__h", shift))
+        buckets = inside.groupBy("__p", "__rest", "__from", "__b").agg(F.sum("size").alias("__t"))
+        buckets = buckets.withColumn("__from", F.col("__from") + F.coalesce(F.sum("__t").over(upto), F.lit(0)))
+        at = buckets.where("__from <= __rest and __from + __t > __rest").groupBy("__p").agg(F.min("__b").alias("__b"), F.min_by("__from", "__b").alias("__from"))
+        inside = inside.drop("__from").join(F.broadcast(at), ["__p", "__b"])  # a row a pattern
     so_far = F.col("__from") + F.sum("size").over(Window.partitionBy("__p").orderBy("__h").rangeBetween(Window.unboundedPreceding, 0))
     fits = inside.withColumn("__sum", so_far).where("__sum <= __rest").groupBy("__p").agg(F.max("__h").alias("__cut"), F.max("__sum").alias("__sum"))
-    edge = F.shiftleft(F.col("__b"), 52) - 1  # below the bucket, where nothing in it fits
-    cuts = at.join(fits, "__p", "left").select("__p", F.coalesce("__cut", edge).alias("__cut"), F.coalesce("__sum", "__from").alias("__sum"))
-    state = {r["__p"]: [r["__cut"], r["__rest"] - r["__sum"], []] for r in cuts.join(light.select("__p", "__rest").distinct(), "__p").collect()}  # a row a pattern
-    spark = light.sparkSession
-    for _ in range(FILLS):
-        now = [(p, cut, gap, fills) for p, (cut, gap, fills) in state.items() if gap > 0]
-        if not now:
-            break
-        gaps = F.broadcast(spark.createDataFrame(now, "__p string, __cut long, __gap long, __fills array<long>"))
-        later = light.join(gaps, "__p").where((F.col("__h") > F.col("__cut")) & (F.col("size") < 2 * F.col("__gap")) & ~F.array_contains("__fills", F.col("__h")))
-        best = later.groupBy("__p").agg(F.min(F.struct(F.abs(F.col("__gap") - F.col("size")), F.col("__h").alias("h"), "size")).alias("f")).collect()
-        for r in best:
-            state[r["__p"]][1] -= r["f"]["size"]
-            state[r["__p"]][2].append(r["f"]["h"])
-        if not best:
+    edge = F.shiftleft(F.col("__b"), 40) - 1  # below the bucket, where nothing in it fits
+    none = F.array().cast("array<long>")
+    cuts = at.join(fits, "__p", "left").join(light.groupBy("__p").agg(F.first("__rest").alias("__rest")), "__p")
+    cuts = staged(cuts.select("__p", "__rest", F.coalesce("__cut", edge).alias("__cut"), F.coalesce("__sum", "__from").alias("__sum"), none.alias("__adds"), none.alias("__drops")), "cuts")
+    while True:
+        open_ = cuts.withColumn("__gap", F.col("__rest") - F.col("__sum")).where(F.abs("__gap") * NEAR > F.col("__rest"))
+        near = light.drop("__rest").join(F.broadcast(open_), "__p").withColumn("__in", _taken())
+        change = staged(best_changes(near.groupBy("__p", "__gap", "__in", "size").agg(F.count("*").alias("n"))), "changes")
+        if change.isEmpty():
             break
-    return spark.createDataFrame([(p, cut, fills) for p, (cut, _, fills) in state.items()], "__p string, __cut long, __fills array<long>")
+        of = near.join(F.broadcast(change), "__p").where((~F.col("__in") & (F.col("size") == F.col("add"))) | (F.col("__in") & (F.col("size") == F.col("drop"))))
+        which = of.groupBy("__p").agg(F.min(F.when(~F.col("__in"), F.col("__h"))).alias("a"), F.max(F.when(F.col("__in"), F.col("__h"))).alias("d"), F.first("add").alias("add"), F.first("drop").alias("drop"))
+        both = cuts.join(which, "__p", "left")
+        new = lambda x, y: F.array_compact(F.array(F.when(~F.array_contains(y, F.col(x)), F.col(x))))
+        adds, drops = F.filter("__adds", lambda h: ~h.eqNullSafe(F.col("d"))), F.filter("__drops", lambda h: ~h.eqNullSafe(F.col("a")))
+        adds, drops = F.concat(adds, new("a", "__drops")), F.concat(drops, new("d", "__adds"))
+        after = F.col("__sum") + F.coalesce("add", F.lit(0)) - F.coalesce("drop", F.lit(0))
+        grown = staged(both.select("__p", "__rest", "__cut", after.alias("__sum"), adds.alias("__adds"), drops.alias("__drops")), "cuts")
+        unstage(cuts, change)
+        cuts = grown
+    return cuts.select("__p", "__cut", "__adds", "__drops")
+
+
+def best_changes(sizes: DataFrame) -> DataFrame:
+    """(__p, add, drop): for each pattern the size to add, and the size to drop for it (0: none), that leave least of __gap.
+
+    sizes(__p, __gap, __in, size): a pattern's different sizes, taken (__in) or not, of which there are at most
+    sqrt(2 * tokens). A negative gap is an excess; nothing may be added (0) if something is dropped. Of equally good
+    changes the one with the smaller size to drop, then to add. Patterns that no change brings nearer have no row.
+    """
+    zero = sizes.select("__p", "__gap", F.lit(0).cast("long").alias("size")).distinct()
+    drops = sizes.where("__in").select("__p", "__gap", "size").unionByName(zero)
+    offers = sizes.where("not __in").select("__p", "__gap", "size").unionByName(zero)
+    wants = drops.select("__p", "__gap", (F.col("__gap") + F.col("size")).alias("v"), F.col("size").alias("drop"), F.lit(None).cast("long").alias("a"))
+    rows = wants.unionByName(offers.select("__p", "__gap", F.col("size").alias("v"), F.lit(None).cast("long").alias("drop"), F.col("size").alias("a")))
+    under = F.last("a", True).over(Window.partitionBy("__p").orderBy("v", F.col("a").isNull()))
+    over = F.last("a", True).over(Window.partitionBy("__p").orderBy(F.desc("v"), F.col("a").isNull()))
+    rows = rows.withColumns({"under": under, "over": over}).where("drop is not null")
+    rows = rows.select("__p", "__gap", "v", "drop", F.explode(F.array_compact(F.array("under", "over"))).alias("add"))
+    best = rows.groupBy("__p", "__gap").agg(F.min(F.struct(F.abs(F.col("v") - F.col("add")).alias("miss"), "drop", "add")).alias("b"))
+    return best.where("b.miss < abs(__gap)").select("__p", "b.add", "b.drop")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3, at most three passes; null doc_ids and repeated rows are ordinary rows."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n"), "source")
+    docs = staged(read_table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n"), "source"), "sizes")
     out = mix_sources(docs, F.array("source"), F.col("n"), [1, 2, 3])
     return out.select("doc_id", "size", "source_size", "target", "taken")
