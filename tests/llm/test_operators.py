@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,13 +73,41 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def plain_longest_first(sizes, shards):
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_first_equals_the_plain_loop(seed):
+    r = random.Random(seed)
+    sizes = [(size, r.choice([1, 2, 7, 100, 1000])) for size in r.sample(range(1, 400), r.randint(1, 30))]
+    dealt, loads = sharding.longest_first(sizes, 5), [0] * 5
+    for size, n in sizes:
+        assert sum(dealt[size]) == n
+        loads = [x + size * k for x, k in zip(loads, dealt[size])]
+    assert loads == plain_longest_first([size for size, n in sizes for _ in range(n)], 5)
+
+
 def test_shards_keep_groups_and_slots(spark):
     docs = [(i, f"text {i % 40}" * (i % 7 + 1) if i % 9 else None, "s") for i in range(400)]
     df = spark.createDataFrame(docs, DOCS).withColumn("shard", F.lit("clash"))
-    for fine in (1000, 2):
-        out = sharding.shard_by_group(df, F.col("text"), F.length("text"), 6, [F.col("doc_id")], fine).toPandas()
-        assert len(out) == 400 and (out.groupby("text")["shard"].nunique() == 1).all()
-        assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+    out = sharding.shard_by_group(df, F.col("text"), F.length("text"), 6, [F.col("doc_id")]).toPandas()
+    assert len(out) == 400 and (out.groupby("text")["shard"].nunique() == 1).all() and out.loc[out["text"].isna(), "shard"].nunique() == 1
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+    groups = out.assign(n=out["text"].fillna("").str.len(), t=out["text"].fillna("\0")).groupby("t")["n"].sum()
+    loads = out.assign(n=out["text"].fillna("").str.len()).groupby("shard")["n"].sum().reindex(range(6), fill_value=0)
+    assert loads.tolist() == plain_longest_first(groups.tolist(), 6)
+    assert sharding.shard_by_group(df.limit(0), F.col("text"), F.length("text"), 6, [F.col("doc_id")]).count() == 0
+
+
+def test_shards_of_many_equal_sizes(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 3000).cast("string")).alias("text"), F.when(F.col("id") % 3000 < 2000, 10).otherwise(7).alias("n"), F.lit("x").alias("slot"))
+    out = sharding.shard_by_group(df, F.col("text"), F.col("n"), 7, [F.col("doc_id")]).toPandas()
+    assert (out.groupby("text")["shard"].nunique() == 1).all() and all(sorted(g["slot"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+    assert sorted(out.groupby("shard")["n"].sum()) == sorted(plain_longest_first(out.groupby("text")["n"].sum().tolist(), 7))
 
 
 def test_mix_comes_near_targets(spark):
@@ -88,7 +117,42 @@ def test_mix_comes_near_targets(spark):
     assert one.sort_values("doc_id")["taken"].tolist() == two.sort_values("doc_id")["taken"].tolist()
     assert (one["taken"] <= 3 * one["size"]).all()
     for _, g in one.groupby(one["source"].fillna("~")):
-        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 10
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 1
+    assert mixing.mix_sources(df.limit(0), F.array("source"), F.lit(1), [1]).count() == 0
+
+
+def test_one_change_closes_the_gap_like_trying_all(spark):
+    r, rows, best, sides = random.Random(3), [], {}, {}
+    for p in range(150):
+        gap, others, taken = r.choice([-1, 1, 1]) * r.randint(1, 60), {r.randint(1, 90) for _ in range(r.randint(0, 8))}, {r.randint(1, 90) for _ in range(r.randint(0, 8))}
+        rows += [(str(p), gap, False, x) for x in others] + [(str(p), gap, True, x) for x in taken]
+        best[str(p)] = min(abs(gap - a + d) for a in [0, *others] for d in [0, *taken])
+        sides[str(p)] = gap, others, taken
+    got = {x["__p"]: x for x in mixing.best_changes(spark.createDataFrame(rows, "__p string, __gap long, __in boolean, size long")).collect()}
+    for p, (gap, others, taken) in sides.items():
+        if p in got:
+            assert got[p].add in others | {0} and got[p].drop in taken | {0} and abs(gap - got[p].add + got[p].drop) == best[p]
+        else:
+            assert best[p] == abs(gap) or not others | taken
+
+
+def test_mix_of_overlapping_sources_against_plain_sums(spark):
+    sources = [["a"], ["b"], ["a", "b"], ["b", "c", "b"], [None], []]
+    docs = [(i, i % 17 + (i % 5 == 0) * 40, sources[i % 6]) for i in range(900)] + [(2000, None, ["a"]), (None, 5, ["c"]), (None, 5, ["c"])]
+    df = spark.createDataFrame(docs, "doc_id long, n int, of array<string>").withColumn("target", F.lit("clash"))
+    out = mixing.mix_sources(df, F.col("of"), F.col("n"), [1, 2, 3]).toPandas()
+    assert len(out) == 903 and (out["taken"] == out["copies"] * out["size"]).all() and out["copies"].between(0, 3).all()
+    assert (out.loc[out["of"].map(len) == 0, "copies"] == 0).all() and (out.loc[out["size"] == 0, "copies"] == 0).all()
+    size = {}
+    for _, n, of in docs:
+        for s in set(of):
+            size[s] = size.get(s, 0) + (n or 0)
+    want = mixing.capped_targets(size, dict(zip(["a", "b", "c", None], [1, 2, 3, 1])), 3)
+    for _, row in out.iterrows():
+        of = set(row["of"])
+        assert row["source_size"] == sum(size[s] for s in of) and abs(row["target"] - sum(want[s] for s in of)) < 1e-6
+    grand = sum(n or 0 for _, n, of in docs if of)
+    assert abs(out["taken"].sum() - grand) <= 0.01 * grand
 
 
 def test_flow_shares_overlapping_patterns():
@@ -176,6 +240,69 @@ def test_graph_links_equal_brute_force(spark):
     assert got[900].n_links == got[901].n_links == 0 and got[901].component_id == 901 and graph_dedup.audit_recall(table, out) > 0.9
 
 
+def test_nearest_ties_few_and_repeated(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [0.5, 0.5]), (4, [0.5, 0.5]), (4, [9.0, 0.0]), (5, [-1.0, 0.0]), (None, [1.0, 1.0]), (7, []), (8, [1.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
+    out = ann.nearest(df, F.col("vec_id") == 1, 20).orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in out] == [(2, 0.5), (3, 0.5), (4, 0.5), (5, -1.0)]
+    assert [x.vec_id for x in ann.nearest(df, F.col("vec_id") == 1, 2).orderBy("rank").collect()] == [2, 3]
+    assert ann.nearest(df.limit(0), F.lit(True)).count() == 0 and ann.nearest(df, F.lit(False)).count() == 0
+
+
+def test_probing_finds_what_comparing_finds():
+    r = np.random.default_rng(5)
+    words = r.integers(0, 1 << 63, (2000, 4)).astype(np.uint64)
+    words[1:600] = words[0] ^ (np.uint64(1) << r.integers(0, 63, (599, 4)).astype(np.uint64))
+    index = ann.MultiIndex(words)
+    for radius in (0, 3, 7, 20, 31, 60, 110):
+        assert index.probe(words[5], radius).tolist() == np.nonzero(ann.distances(words[5:6], words)[0] <= radius)[0].tolist()
+    assert index.probing_pays(20) and not index.probing_pays(110)
+
+
+def test_levels_equal_longest_paths(spark):
+    r = random.Random(8)
+    rows, needs = [], {}
+    for i in range(120):
+        needs[i] = sorted({r.randrange(i) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))}) if i else []
+    needs |= {200: [201], 201: [202], 202: [200], 203: [200], 204: [203, 1], 205: [999], 300: [299]} | {300 + k: [299 + k] for k in range(1, 90)}
+    rows = [(1, 0, str(k), "t", "{}", [str(n) for n in v] + [None]) for k, v in needs.items()]
+    level = {}
+
+    def depth(k):
+        if k not in level:
+            level[k] = None  # being looked at: a cycle
+            below = [depth(n) for n in needs[k] if n in needs]
+            level[k] = None if None in below else 1 + max(below, default=-1)
+        return level[k]
+
+    got = {int(x.call_id): x.level for x in tool_calls.levels(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")).collect()}
+    want = {k: depth(k) for k in needs}
+    assert got == {k: want[k] for k in needs if any(n in needs for n in needs[k])}
+
+
+def test_tool_calls_of_nothing_and_nulls(spark):
+    calls = spark.createDataFrame([(None, None, None, None, None, None), (1, None, "a", "f", '{"n": 7, "s": ""}', ["a"])], "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>").withColumn("level", F.lit("clash"))
+    results = spark.createDataFrame([(1, None, "a", None), (None, 1, None, "x")], "conv_id long, turn long, call_id string, content string")
+    out = {x.call_id: x for x in tool_calls.link_tool_calls(calls, results, {"f": {"n": ("integer", True, 0, 6), "s": ("string", False, 1, 9)}}).collect() if x.status != "orphan"}
+    assert out["a"].status == "linked" and out["a"].level is None and out["a"].violations == "n: not within 0 and 6; s: not within 1 and 9"
+    assert out[None].status == "unanswered" and out[None].violations == "unknown tool"
+    assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), {}).count() == 0
+
+
+def test_tool_call_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, "user", "x" * 351), (1, 3, "user", "again"), (1, 4, "assistant", None), (1, 9, "assistant", "lone"), (2, 8, "user", ""), (2, None, "user", "q"), (3, 1, "user", None), (3, 1, "user", None)]
+    rows += [(4, t, ("user", "assistant")[t % 2], f"t{t}") for t in range(41)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(tool_calls.OP1_SQL).fetchdf()
+    got = tool_calls.op1_tool_calls(spark, str(tmp_path)).toPandas()[list(want.columns)]
+    norm = lambda df: sorted(tuple("~" if pd.isna(x) else str(int(x)) if isinstance(x, (float, np.floating)) else str(x) for x in row) for row in df.astype(object).itertuples(index=False))
+    assert norm(got) == norm(want) and got["level"].max() == 20
+
+
 def test_tool_calls(spark):
     schema = {"add": {"x": ("integer", True), "note": ("string", False)}}
     calls = [(1, 0, "a", "add", '{"x": 1}', []), (1, 1, "b", "add", '{"x": "1", "y": 2}', ["a"]), (1, 2, "c", "add", "no", ["d"]), (1, 3, "d", "mul", "{}", ["c"]), (1, 0, "a", "add", '{"x": 1}', [])]
