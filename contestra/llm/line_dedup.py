@@ -1,11 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
-Distinct lines of at least LEAST characters join at edit distance up to `most`. A line is split into most + 1 even
-segments, each indexed under (length, segment number, segment); by the pigeonhole principle a line within reach agrees
-with one of them, shifted only as far as the remaining edits allow, so each line probes the few substrings that qualify
-for its own and the shorter lengths. Pairs that meet under a key are verified with banded bit-parallel edit distance.
-Where many lines meet under one key, their pairs are formed block by block in the verifying task, and only true links
-leave it. Shorter lines join by equality only; blank lines take no part and always stay.
+Distinct lines join at an edit distance of one for each EACH characters of the shorter one, up to `most`; lines of fewer
+than EACH characters, which so few edits could rewrite, join by equality only, and blank lines take no part and always
+stay. A line with threshold t is split into t + 1 even segments, each indexed under (length, segment number, segment);
+by the pigeonhole principle a line within reach agrees with one of them, shifted only as far as the remaining edits
+allow, so each line probes the few substrings that qualify for its own and the shorter lengths. Pairs that meet under a
+key are verified with banded bit-parallel edit distance. Where many lines meet under one key, their pairs are formed
+block by block in the verifying task, and only true links leave it; keys that a sample of lines shows to be common are
+spread over many tasks from the start.
 """
 
 from __future__ import annotations
@@ -18,19 +20,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, read_table, staged
+from .common import bounded_batches, connected_components, read_table, staged, unstage
 
-MOST, LEAST = 2, 24
+MOST, EACH = 2, 8
+#: Lines whose keys show which are common, how many of them must share a key for that, and tasks that it is spread over.
+SAMPLE, OFTEN, SPREAD = 20_000, 20, 64
 #: Lines under one key whose pairs are listed; larger groups are paired where they are verified, BLOCK by BLOCK.
 LISTED, BLOCK = 40, 1500
 #: Ids that may be broadcast to fetch texts; more are joined.
 FEW_IDS = 1_000_000
 #: Characters of all pairs that are compared at once.
 CELLS = 4_000_000
+#: Classes with more than one line in LARGE are broadcast.
+LARGE = 1000
 
 
-def within_edits(a: list[str], b: list[str], most: int) -> np.ndarray:
-    """Whether each pair is at edit distance `most` or less, by banded bit-parallel columns over all pairs at once."""
+def threshold(length, most: int):
+    """Edits that lines may differ in, the shorter one having that many characters (a number or an array)."""
+    return np.minimum(most, length // EACH)
+
+
+def within_edits(a: list[str], b: list[str], most: int, relative: bool = False) -> np.ndarray:
+    """Whether each pair is at edit distance `most` or less, by banded bit-parallel columns over all pairs at once.
+    relative: within the threshold of the shorter line instead."""
     n = len(a)
     la, lb = np.fromiter(map(len, a), np.int64, n), np.fromiter(map(len, b), np.int64, n)
     swap = la < lb
@@ -44,7 +56,8 @@ def within_edits(a: list[str], b: list[str], most: int) -> np.ndarray:
         while step > 1 and step * (lb[live[i + step - 1]] + 4 * most) > CELLS:
             step //= 2
         part, i = live[i : i + step], i + step
-        good[part] = _band([b[k] if swap[k] else a[k] for k in part], [a[k] if swap[k] else b[k] for k in part], la[part], lb[part], most)
+        dist = _band([b[k] if swap[k] else a[k] for k in part], [a[k] if swap[k] else b[k] for k in part], la[part], lb[part], most)
+        good[part] = dist <= (threshold(lb[part], most) if relative else most)
     return good
 
 
@@ -58,6 +71,7 @@ def _codes(texts: list[str], lengths: np.ndarray, width: int, before: int, fill:
 
 
 def _band(long: list[str], short: list[str], la: np.ndarray, lb: np.ndarray, most: int) -> np.ndarray:
+    """Edit distances of the pairs, right up to `most`."""
     n, steps = len(long), int(lb.max(initial=0))
     x = _codes(long, la, steps + 2 * most + int((la - lb).max(initial=0)) + 1, most, -1)
     y = _codes(short, lb, max(steps, 1), 0, -2)
@@ -79,7 +93,7 @@ def _band(long: list[str], short: list[str], la: np.ndarray, lb: np.ndarray, mos
         dist -= side & ((hn & across) != 0)
         across = np.where(side, across >> one, across)
         vp, vn = hn | ~((d0 >> one) | hp), (d0 >> one) & hp
-    return dist <= most
+    return dist
 
 
 def _places(length: int, most: int) -> list[tuple[int, int, int, int, bool]]:
@@ -87,11 +101,12 @@ def _places(length: int, most: int) -> list[tuple[int, int, int, int, bool]]:
     out = []
     for less in range(most + 1):
         of, start = length - less, 0
-        if of < LEAST:
-            break
-        for i in range(most + 1):  # segment i, after which most - i edits may still come
-            size = (of + i) // (most + 1)
-            for shift in range(max(-i, less - (most - i)), min(i, less + most - i) + 1):
+        edits = int(threshold(of, most))
+        if edits < max(1, less):
+            continue
+        for i in range(edits + 1):  # segment i, after which edits - i edits may still come
+            size = (of + i) // (edits + 1)
+            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 at = start + shift
                 if at >= 0 and at + size <= length:
                     out.append((of, i, at, at + size, less == 0 and shift == 0))
@@ -99,11 +114,13 @@ def _places(length: int, most: int) -> list[tuple[int, int, int, int, bool]]:
     return out
 
 
-def keys_of(most: int):
-    """mapInPandas function from (id, line) to (key, id, index)."""
+def keys_of(most: int, common=None):
+    """mapInPandas function from (id, line) to (key, id, index, part): part deals a key's rows to one task, or those of
+    a key in the broadcast array `common` to many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places, digest = {}, xxhash.xxh64_intdigest
+        often = common.value if common else np.zeros(0, np.int64)
         for pdf in batches:
             for lo in range(0, len(pdf), 5000):
                 keys, ids, index = [], [], []
@@ -118,13 +135,24 @@ def keys_of(most: int):
                     keys += [digest(line[x:y].encode(), seed) for seed, x, y in where]
                     ids += [id_] * len(where)
                     index += own
-                yield pd.DataFrame({"key": np.array(keys, np.uint64).astype(np.int64), "id": np.array(ids, np.int64), "index": np.array(index, bool)})
+                key, id_ = np.array(keys, np.uint64).astype(np.int64), np.array(ids, np.int64)
+                part = np.where(np.isin(key, often), key + id_ % SPREAD, key) if len(often) else key
+                yield pd.DataFrame({"key": key, "id": id_, "index": np.array(index, bool), "part": part})
 
     return run
 
 
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Within one partition, which holds all rows of its keys: pairs of ids (hot false), or key and id of crowded keys."""
+def common_keys(lines: DataFrame, most: int) -> np.ndarray:
+    """Sorted keys that at least OFTEN of about SAMPLE lines(id, line) share."""
+    every = max(1, lines.count() // SAMPLE)
+    some = lines.where(F.pmod(F.xxhash64("line"), F.lit(every)) == 0).mapInPandas(keys_of(most), "key long, id long, index boolean, part long")
+    found = some.groupBy("key").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= OFTEN).select("key").toPandas()
+    return np.sort(found["key"].to_numpy(np.int64))
+
+
+def _meet(batches: Iterator[pd.DataFrame], common=None) -> Iterator[pd.DataFrame]:
+    """Within one partition, which holds all rows of its keys: pairs of ids (hot false), or key and id of crowded keys.
+    Keys in the broadcast array `common`, whose rows lie in several partitions, count as crowded."""
     parts = [(p["key"].to_numpy(), p["id"].to_numpy(), p["index"].to_numpy(dtype=bool)) for p in batches]
     if not parts:
         return
@@ -137,9 +165,11 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, ids, index = key[first], ids[first], index[first]
     starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
     sizes = np.diff(np.r_[starts, len(key)])
-    found = []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= LISTED)]):
-        at = starts[sizes == size, None] + np.arange(size)
+    crowded, found = sizes > LISTED, []
+    if common is not None and len(common.value):
+        crowded |= np.isin(key[starts], common.value)
+    for size in np.unique(sizes[(sizes > 1) & ~crowded]):
+        at = starts[(sizes == size) & ~crowded, None] + np.arange(size)
         i, j = np.triu_indices(size, 1)
         a, b = at[:, i].ravel(), at[:, j].ravel()
         some = index[a] | index[b]
@@ -148,7 +178,7 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = np.unique(np.concatenate(found), axis=0)
         for i in range(0, len(pairs), 100_000):
             yield pd.DataFrame({"hot": False, "a": pairs[i : i + 100_000, 0], "b": pairs[i : i + 100_000, 1]})
-    crowd = np.repeat(sizes > LISTED, sizes)
+    crowd = np.repeat(crowded, sizes)
     at = np.nonzero(crowd)[0]
     for i in range(0, len(at), 100_000):
         yield pd.DataFrame({"hot": True, "a": key[at[i : i + 100_000]], "b": ids[at[i : i + 100_000]]})
@@ -166,17 +196,19 @@ def _likely(x: list[str], y: list[str], most: int) -> tuple[np.ndarray, np.ndarr
 
 
 def edit_links(lines: DataFrame, most: int = MOST) -> DataFrame:
-    """(u, v), u < v: all pairs of lines(id, line), distinct lines, at edit distance `most` or less (both LEAST long)."""
-    keyed = lines.where(F.char_length("line") >= LEAST).select("id", "line").mapInPandas(keys_of(most), "key long, id long, index boolean")
-    keyed = keyed.repartition("key")
-    met = staged(keyed.mapInPandas(_meet, "hot boolean, a long, b long"), "met")
+    """(u, v), u < v: all pairs of lines(id, line), distinct lines, within the threshold of the shorter one."""
+    bounded_batches(lines.sparkSession)
+    lines = lines.where(F.char_length("line") >= EACH).select("id", "line")
+    common = lines.sparkSession.sparkContext.broadcast(common_keys(lines, most))  # SAMPLE * keys of a line / OFTEN at most
+    keyed = lines.mapInPandas(keys_of(most, common), "key long, id long, index boolean, part long").repartition("part").drop("part")
+    met = staged(keyed.mapInPandas(lambda batches: _meet(batches, common), "hot boolean, a long, b long"), "met")
     pairs = met.where("not hot").select("a", "b").distinct()
     ids = staged(met.select(F.explode(F.when(F.col("hot"), F.array("b")).otherwise(F.array("a", "b"))).alias("id")).distinct(), "ids")
     texts = staged(lines.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi"), "texts")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            good = within_edits(pdf["x"].tolist(), pdf["y"].tolist(), most)
+            good = within_edits(pdf["x"].tolist(), pdf["y"].tolist(), most, True)
             yield pdf.loc[good, ["u", "v"]]
 
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
@@ -194,12 +226,14 @@ def edit_links(lines: DataFrame, most: int = MOST) -> DataFrame:
         for lo in range(0, len(text), 500):
             i, j = _likely(text[lo : lo + 500], text, most)
             i, j = i[j > i + lo] + lo, j[j > i + lo]
-            good = within_edits([text[k] for k in i], [text[k] for k in j], most) if len(i) else np.zeros(0, bool)
+            good = within_edits([text[k] for k in i], [text[k] for k in j], most, True) if len(i) else np.zeros(0, bool)
             found.append(np.stack([ids[i[good]], ids[j[good]]], 1))
         found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
-    return cold.unionByName(cells.groupBy("key", "i", "j").applyInPandas(crowd, "u long, v long")).distinct()
+    out = staged(cold.unionByName(cells.groupBy("key", "i", "j").applyInPandas(crowd, "u long, v long")).distinct(), "links")
+    unstage(met, ids, texts)
+    return out
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -216,19 +250,24 @@ def line_classes(docs: DataFrame, most: int = MOST) -> DataFrame:
     doc_id and line_no are treated alike. An empty table gives an empty one.
     """
     lines = split_lines(docs)
-    distinct = lines.where(F.char_length("line") >= LEAST).groupBy("line", "digest").agg(F.lit(1).alias("one")).drop("one")
+    distinct = lines.where(F.char_length("line") >= EACH).groupBy("line", "digest").agg(F.lit(1).alias("one")).drop("one")
     distinct = staged(distinct.select(F.monotonically_increasing_id().alias("id"), "digest", "line"), "lines")
-    links = staged(edit_links(distinct.select("id", "line"), most), "links")
+    links = edit_links(distinct.select("id", "line"), most)
     degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     roots = connected_components(links).join(degree, F.col("node") == F.col("id")).select("node", "root", "n_links")
     named = distinct.select("id", "digest")
     near = named.join(roots, F.col("id") == F.col("node")).select("digest", "root", "n_links")
     tops = named.join(roots.select("root").distinct(), F.col("id") == F.col("root")).select("root", F.col("digest").alias("top"))
     near = staged(near.join(tops, "root").select("digest", "top", "n_links"), "near")
+    unstage(links, distinct)
     rows = lines.select("doc_id", "line_no", "digest").join(near, "digest", "left")
     rows = staged(rows.select("doc_id", "line_no", F.coalesce("top", "digest").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    out = rows.join(first, "class")
+    first = staged(rows.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "firsts")
+    bar = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // LARGE
+    large = first.where(F.col("n") > bar).select("class", F.col("first").alias("large"))  # at most LARGE rows
+    out = rows.join(F.broadcast(large), "class", "left")
+    light = out.where("large is null").drop("large").join(first.where(F.col("n") <= bar).select("class", "first"), "class")
+    out = light.unionByName(out.where("large is not null").withColumnRenamed("large", "first"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     return out.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", kept.alias("kept"))
 
