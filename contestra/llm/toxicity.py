@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_batches, read_table
 
 WIDTH, STRIDE = 48, 32
 WORDS, GRAMS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 13, 8, 8, 8
@@ -26,7 +26,7 @@ WORDS, GRAMS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 13, 8, 8, 8
 SAMPLE_DOCS = 4000
 LEVEL = 0.3
 #: Words that are scored together.
-CHUNK = 1_000_000
+CHUNK = 200_000
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict |
 
     Null labels and ids teach nothing; of several labels for one id the largest counts.
     """
+    bounded_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -261,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict |
 
 def score(docs: DataFrame, model: dict | float) -> DataFrame:
     """docs with `score` and `predicted` (score >= LEVEL) for docs.text, whose other columns stay as they are."""
+    bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
