@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import bounded_batches, read_table, staged
 
 #: Pieces in a batch, about. Batches are independent.
 BATCH = 4096
@@ -61,7 +61,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, and mix, which deals pieces into batches."""
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
+    bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_ids(path)
@@ -83,7 +84,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
 
 
 def dot_product_bins(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Sequence number of each row of demand (items x dimensions); every row fits within limits."""
+    """Sequence number of each row of demand (items x dimensions); every row fits within limits. Of equally good rows
+    the larger goes first, then the earlier."""
     share = demand / limits
     order = np.lexsort((np.arange(len(share)), -share.sum(1)))
     want, part = np.ascontiguousarray(demand[order].T.astype(float)), np.ascontiguousarray(share[order].T)
