@@ -40,6 +40,36 @@ def test_lines_join_and_edge_cases(spark):
     assert line_dedup.line_classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_lines_of_any_length_equal_brute_force(spark):
+    r, lines = random.Random(6), set()
+    for _ in range(60):
+        base = "".join(r.choice("abcd é") for _ in range(r.randint(1, 40)))
+        for _ in range(4):
+            x = list(base)
+            for _ in range(r.randint(0, 3)):
+                k = r.randrange(len(x) + 1)
+                x[k : k + r.randint(0, 1)] = r.choice(["", "x", "y"])
+            lines.add("".join(x))
+    lines = sorted(lines | {"", "a", "ab"})
+    got = {(x.u, x.v) for x in line_dedup.edit_links(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    reach = lambda a, b: min(2, min(len(a), len(b)) // 8)
+    assert got == {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if reach(lines[i], lines[j]) and edits(lines[i], lines[j]) <= reach(lines[i], lines[j])} and len(got) > 50
+
+
+def test_common_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "OFTEN", 3)
+    lines = [f"page {i:03d} of the manual" for i in range(60)] + [f"{i} bottles on the wall, {i} bottles" for i in range(30)]
+    got = {(x.u, x.v) for x in line_dedup.edit_links(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if edits(lines[i], lines[j]) <= 2}
+
+
+def test_lines_of_one_long_text_and_clashing_names(spark):
+    text = "\n".join(["same line here"] * 5000 + ["x" * 50_000, "x" * 49_999, " \t"])
+    df = spark.createDataFrame([(1, text, "s"), (None, "same line here", None)], DOCS).withColumn("class", F.lit("clash"))
+    out = line_dedup.line_classes(df).collect()
+    assert len(out) == 5003 and sum(x.kept for x in out) == 2 and {x.n_links for x in out if x.line_no >= 5000} == {1}
+
+
 def test_crowded_keys_lose_no_link(spark):
     lines = [f"page {i:03d} of the long manual for this machine" for i in range(120)]
     got = {(r.u, r.v) for r in line_dedup.edit_links(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
@@ -181,17 +211,57 @@ def test_pieces_hold_every_id_once(spark):
         assert p["length"].sum() == len(ids) and all(zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) == c for s, n, c in zip(p["start"], p["length"], p["ids_crc32"]))
 
 
+def plain_counts(texts):
+    from collections import Counter
+
+    c = Counter()
+    for t in texts:
+        c.update((t or "").encode().lower().split())
+        c[b""] += 1
+    return c
+
+
 def test_brown_scores_a_proper_model(spark):
     r = random.Random(4)
-    docs = spark.createDataFrame([(i, " ".join(r.choice(["a b", "c d", "e f g"]) for _ in range(30)) if i else None, "s") for i in range(60)], DOCS)
-    docs = docs.select("doc_id", "text", brown.held_out(F.col("doc_id")).alias("held_out"))
-    p = brown.Params(clustered=16, classes=4)
-    model, counts = brown.fit(docs.where("not held_out").select("text"), p)
-    out = brown.score(docs, model, counts, p).toPandas()
-    assert len(out) == 60 and (out[out["doc_id"] > 0]["score"] > out[out["doc_id"] > 0]["base_score"]).mean() > 0.9
+    docs = [(i, " ".join(r.choice(["a b", "c d", "e f g", f"rare{r.randrange(60)} x", f"once{i}x{j}"]) for j in range(30)) if i else None, "s") for i in range(60)]
+    docs += [(None, "A b  never\u00a0seen b", "s"), (99, "", None), (99, "", None)]
+    docs = spark.createDataFrame(docs, DOCS).withColumn("row", F.lit("clash"))
+    docs = docs.select("doc_id", "text", "row", brown.held_out(F.col("doc_id")).alias("held_out"))
+    p = brown.Params(clustered=4, classes=3, head=8)
+    model, beyond = brown.fit(docs.where("not held_out").select("text"), p)
+    out = brown.score(docs, model, beyond, p).toPandas()
+    assert len(out) == 63 and (out[out["doc_id"] > 0]["score"] > out[out["doc_id"] > 0]["base_score"]).mean() > 0.8
     assert np.allclose((10**model.steps).sum(1), 1)
-    model, counts = brown.fit(docs.limit(0).select("text"), p)
-    assert (brown.score(docs, model, counts, p).toPandas()["score"] == 0).all()
+    # The words of a class share its probability; a length's class keeps some for words never seen.
+    rows = beyond.toPandas()
+    mass = np.zeros(len(model.steps))
+    h = len(model.words)
+    np.add.at(mass, model.index[: h], 10 ** model.emission[: h])
+    assert h == 8 and rows["k"].notna().sum() > 10 and rows["k"].isna().sum() > 10
+    for c, k in zip(rows["c"], rows["k"]):
+        if k == k:
+            mass[int(k)] += c / model.share[int(k)]
+    assert np.allclose(mass[:3][model.share[:3] > 0], 1)
+    # Base scores and known tokens against plain counting.
+    got = docs.collect()
+    train = plain_counts(x.text for x in got if not x.held_out)
+    n, v = sum(train.values()), len(train)
+    want = []
+    for x in got:
+        t = (x.text or "").encode().lower().split() + [b""]
+        want.append((len(t), sum(w in train for w in t), sum(np.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)))
+    have = sorted(zip(out["n_tokens"], out["n_known"], out["base_score"]))
+    assert np.allclose(have, sorted(want)) and (out["train_tokens"] == n).all()
+    model, beyond = brown.fit(docs.limit(0).select("text"), p)
+    assert (brown.score(docs, model, beyond, p).toPandas()["score"] == 0).all() and brown.score(docs.limit(0), model, beyond, p).count() == 0
+
+
+def test_brown_assigns_words_to_their_likeliest_class(spark):
+    texts = ["the cat sat"] * 30 + ["the dog sat"] * 30 + ["the emu sat"] * 3 + ["a red car"] * 30 + ["a red van"] * 30 + ["a red tram"] * 3
+    p = brown.Params(clustered=8, classes=5, head=9)
+    model, beyond = brown.fit(spark.createDataFrame([(t,) for t in texts], "text string"), p)
+    k = dict(zip(model.words, model.index.tolist())) | {bytes(x.word): x.k for x in beyond.collect()}
+    assert k[b"emu"] in {k[b"cat"], k[b"dog"]} and k[b"tram"] in {k[b"car"], k[b"van"]} and len(model.words) == 8
 
 
 def test_toxicity_gradients_and_learning():
