@@ -256,12 +256,11 @@ def test_brown_scores_a_proper_model(spark):
     assert (brown.score(docs, model, beyond, p).toPandas()["score"] == 0).all() and brown.score(docs.limit(0), model, beyond, p).count() == 0
 
 
-def test_brown_assigns_words_to_their_likeliest_class(spark):
-    texts = ["the cat sat"] * 30 + ["the dog sat"] * 30 + ["the emu sat"] * 3 + ["a red car"] * 30 + ["a red van"] * 30 + ["a red tram"] * 3
-    p = brown.Params(clustered=8, classes=5, head=9)
-    model, beyond = brown.fit(spark.createDataFrame([(t,) for t in texts], "text string"), p)
-    k = dict(zip(model.words, model.index.tolist())) | {bytes(x.word): x.k for x in beyond.collect()}
-    assert k[b"emu"] in {k[b"cat"], k[b"dog"]} and k[b"tram"] in {k[b"car"], k[b"van"]} and len(model.words) == 8
+def test_words_prefer_the_class_that_follows_their_contexts():
+    table = np.array([[90.0, 1, 0, 0], [2, 40, 0, 0], [5, 5, 0, 0], [0, 0, 0, 0]])
+    like = brown.preference(table, 2)
+    assert like.shape == (4, 2) and (like[0].argmax(), like[1].argmax()) == (0, 1)
+    assert np.allclose(np.exp(like).sum(0), 1)  # of a class, over contexts
 
 
 def test_toxicity_gradients_and_learning():
