@@ -170,8 +170,8 @@ def _meet(batches: Iterator[pd.DataFrame], listed: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"kind": CROWD, "a": key[k], "b": ids[k], "n": n[k]})
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, staged, to be broadcast if it is known to be small."""
+def small(df: DataFrame) -> DataFrame:
+    """df, staged, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= FEW_IDS else df
 
 
@@ -179,7 +179,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sig: DataFrame, repeated: bool)
     """(u, v), staged, of the pairs(u, v) of sets that are similar; sig has a row of rows(__row, text) for every set.
     repeated: whether a __row may stand for several rows."""
     few = staged(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "few")
-    one = sig.join(_small(few), F.col("__set") == F.col("id"), "left_semi").groupBy(F.col("__set").alias("id")).agg(F.min_by(F.struct("__n", "__sketch", "__row"), "__row").alias("r"))
+    one = sig.join(small(few), F.col("__set") == F.col("id"), "left_semi").groupBy(F.col("__set").alias("id")).agg(F.min_by(F.struct("__n", "__sketch", "__row"), "__row").alias("r"))
     one = staged(one.select("id", "r.*"), "sketches")
 
     def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,9 +206,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, sig: DataFrame, repeated: bool)
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             yield pdf.loc[np.array(good, bool), ["u", "v"]]
 
-    found = rows.select("__row", "text").join(_small(named), "__row").mapInPandas(sets, "id long, s binary")
+    found = rows.select("__row", "text").join(small(named), "__row").mapInPandas(sets, "id long, s binary")
     found = staged(found.dropDuplicates(["id"]) if repeated else found, "sets")
-    sides = found.select(F.col("id").alias("u"), F.col("s").alias("x")).join(_small(likely), "u").join(found.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
+    sides = found.select(F.col("id").alias("u"), F.col("s").alias("x")).join(small(likely), "u").join(found.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
     out = staged(sides.mapInPandas(check, "u long, v long"), "similar")
     unstage(few, one, likely, named, found)
     return out
@@ -235,7 +235,7 @@ def near_copies(docs: DataFrame, listed: int = LISTED) -> tuple[DataFrame, DataF
     reps = sig.groupBy("__set", "__row").agg(F.count("*").alias("n")).groupBy("__set").agg(F.min("__row").alias("__row"), (F.max("n") > 1).alias("repeated"))
     reps = staged(reps, "reps")  # copies probe once
     repeated = not reps.where("repeated").isEmpty()
-    keyed = sig.join(_small(reps), ["__set", "__row"], "left_semi").select(F.col("__set").alias("id"), F.col("__n").alias("n"), F.explode("__keys").alias("key")).repartition("key")
+    keyed = sig.join(small(reps), ["__set", "__row"], "left_semi").select(F.col("__set").alias("id"), F.col("__n").alias("n"), F.explode("__keys").alias("key")).repartition("key")
     met = staged(keyed.mapInPandas(lambda batches: _meet(batches, listed), "kind int, a long, b long, n long"), "met")
     ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     first = met.where(F.col("kind") == FIRST).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_pairs_by_print(sig).select(*ends))
