@@ -13,7 +13,7 @@ from contestra.llm import toxicity
 from contestra.llm.common import read_table, staged, word_count
 from contestra.llm.line_dedup import drop_repeated_lines
 from contestra.llm.mixing import mix_sources
-from contestra.llm.near_copies import near_copies
+from contestra.llm.near_copies import near_copies, small
 from contestra.llm.packing import packed_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,7 +37,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows, groups = near_copies(docs.select(*COLUMNS))
     least = groups.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least"))
     kept = least.select(F.col("least.__row").alias("__row")).join(groups.groupBy("__row").agg(F.count("*").alias("__n")), "__row")
+    kept = small(staged(kept, "kept"))
     rows = rows.join(kept, "__row")
+    if kept.where("__n > 1").isEmpty():
+        return rows.select(*COLUMNS)
     # Rows of one digest are equal in every column, so it doesn't matter which of them stays.
     return rows.where("__n = 1").unionByName(rows.where("__n > 1").dropDuplicates(["__row"])).select(*COLUMNS)
 
