@@ -5,6 +5,9 @@ import pytest
 from contestra.operators.fold import elo_fold
 from contestra.operators.relational import append_once, merge_upsert, scd2_apply
 import contestra.plans.derived as derived
+import contestra.plans.leftovers as leftovers
+import contestra.plans.people as people
+import contestra.plans.skill as skill
 import contestra.plans.views as views
 from contestra.plans.catalog import ORACLES, QUERIES
 
@@ -27,7 +30,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events pages".split():
+    for t in "region nation customer supplier part orders lineitem events pages conversations".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(ORACLES[name]).fetchdf())
 
