@@ -54,11 +54,12 @@ def rated(spark: SparkSession, d: str, as_of: str = CUT) -> DataFrame:
 
 
 def three(names) -> list:
-    return [F.round(n, 3).alias(n) for n in names]
+    """Columns rounded to 3 places; a negative zero is zero."""
+    return [F.when(F.round(n, 3) == 0, 0.0).otherwise(F.round(n, 3)).alias(n) for n in names]
 
 
 def r3(names) -> str:
-    return ", ".join(f"round({n}, 3) as {n}" for n in names)
+    return ", ".join(f"case when round({n}, 3) = 0 then 0 else round({n}, 3) end as {n}" for n in names)
 
 
 @query("m02_career_and_evidence", CTE + " select entity_id, count(*)::bigint as bouts, max(event_date) as last_date, count(won)::bigint as evidence from cut group by 1", dates=("last_date",))
