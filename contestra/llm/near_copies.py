@@ -8,7 +8,8 @@ texts shows to be common last, which keeps few sets under a key; no result depen
 whole sets, once the sizes of the sets' BUCKETS parts allow it (the difference of two sets is at least the sum of the
 differences in size of their parts). Under a key all sets first pair with a hub; the other pairs are verified only if
 their ends are then still in different components, so no pair that could join two is left out, and a group of near
-copies costs about one verification a member.
+copies costs about one verification a member. Under a crowded key such pairs are compared by sketch in blocks, and only
+those that pass are written.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .simhash import majority, near_links
 WIDTH = 5
 #: Sets under one key whose pairs are all listed, and hubs of a larger group.
 LISTED, HUBS = 24, 3
+#: Sets of one block of a crowded key; two blocks are compared in one task.
+CELL = 2048
 #: Texts that show which shingles are common, and most shingles that count as such.
 SAMPLE, COMMON = 4000, 200_000
 BUCKETS = 128
@@ -71,10 +74,6 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
-def _close(n: Column, m: Column) -> Column:
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
-
-
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sorted, and counts) of shingles in several of a sample of docs(text)."""
     every = max(1, docs.count() // SAMPLE)
@@ -170,6 +169,44 @@ def _meet(batches: Iterator[pd.DataFrame], listed: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"kind": CROWD, "a": key[k], "b": ids[k], "n": n[k]})
 
 
+def _crossing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (u, v) of sets in different components, one from each of the two blocks of a cell or both from its only
+    one, that sizes and sketches allow to be similar. Values cut at a level differ by no more than the whole ones, so
+    a matrix product over levels finds all of them; the whole sketches decide."""
+    ids, n, root, own = (pdf[c].to_numpy() for c in ("id", "n", "root", "own"))
+    x = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BUCKETS)
+    top = min(int(x.max()), 16)
+    levels = np.concatenate([x >= k for k in range(1, top + 1)], axis=1).astype(np.float32) if top else np.zeros((len(x), 1), np.float32)
+    total = levels.sum(1)
+    both = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+    left, right = (np.arange(len(x)),) * 2 if both else (np.nonzero(own == pdf["lo"].iloc[0])[0], np.nonzero(own == pdf["hi"].iloc[0])[0])
+    us, vs = [], []
+    for i in range(0, len(left), 256):
+        a = left[i : i + 256]
+        apart = total[a, None] + total[right] - 2 * (levels[a] @ levels[right].T)
+        good = (9 * apart <= n[a, None] + n[right]) & (root[a, None] != root[right])
+        good &= 5 * np.minimum(n[a, None], n[right]) >= 4 * np.maximum(n[a, None], n[right])
+        if both:
+            good &= ids[a, None] < ids[right]
+        p, q = np.nonzero(good)
+        for k in range(0, len(p), 50_000):
+            b, c = a[p[k : k + 50_000]], right[q[k : k + 50_000]]
+            sure = 9 * np.abs(x[b].astype(np.int16) - x[c]).sum(1) <= n[b] + n[c]
+            us.append(ids[b[sure]])
+            vs.append(ids[c[sure]])
+    u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def crossing(hot: DataFrame, blocks: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(u, v): pairs under a key of hot(key, id, n, root) between components that sketches(id, sketch) allow. Each key
+    is dealt out in its blocks(key, blocks), two of them a cell; other pairs of a key are compared but never written."""
+    dealt = hot.join(small(blocks), "key").join(sketches, "id")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "root", "sketch")
+    return dealt.groupBy("key", "lo", "hi").applyInPandas(_crossing, "u long, v long")
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, staged, to be broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= FEW_IDS else df
@@ -223,7 +260,7 @@ def _pairs_by_print(sig: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def near_copies(docs: DataFrame, listed: int = LISTED) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, listed: int = LISTED, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): docs with __row (a digest of all columns), and of each row all but the text, with __row, __set and __root.
 
     Rows of equal __root are connected by near copies, equal sets included. All word-free and null texts have the empty
@@ -252,12 +289,15 @@ def near_copies(docs: DataFrame, listed: int = LISTED) -> tuple[DataFrame, DataF
     # Only keys that still hold several components; in a group of near copies that the hubs reach there are none.
     split = hot.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     hot = staged(hot.join(split, "key", "left_semi"), "split")
-    other = hot.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-    crowd = hot.join(other, "key").where((F.col("root") != F.col("other")) & (F.col("id") < F.col("v")) & _close(F.col("n"), F.col("m")))
-    more = later.unionByName(crowd.select(F.col("id").alias("u"), "v")).distinct().join(first, ["u", "v"], "left_anti")
+    blocks = staged(hot.groupBy("key").agg(F.ceil(F.count("*") / cell).alias("blocks")), "blocks")
+    ids = staged(hot.select("id").distinct(), "ids")
+    sketches = sig.select(F.col("__set").alias("id"), F.col("__sketch").alias("sketch")).join(small(ids), "id", "left_semi")
+    sketches = staged(sketches.dropDuplicates(["id"]), "crowded")
+    crowd = crossing(hot, blocks, sketches)
+    more = later.unionByName(crowd).distinct().join(first, ["u", "v"], "left_anti")
     more = staged(more, "pairs")
     if not more.isEmpty():
         roots = connected_components(links.unionByName(_verified(more, rows, sig, repeated)))
-    unstage(reps, met, first, hot, more)
+    unstage(reps, met, first, hot, blocks, ids, sketches, more)
     out = sig.drop("__n", "__sketch", "__keys", "__fp").join(roots, F.col("__set") == F.col("node"), "left")
     return rows, out.withColumn("__root", F.coalesce("root", "__set")).drop("node", "root")

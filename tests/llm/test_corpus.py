@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -33,8 +34,8 @@ def test_near_copy_stage_drops_planted_copies(spark):
     assert sorted(x.doc_id for x in out) == [*range(20), *range(200, 220)]
 
 
-@pytest.mark.parametrize("listed", [1, 24])
-def test_near_copies_equal_brute_force(spark, listed):
+@pytest.mark.parametrize("listed, cell", [(1, 2), (1, 2048), (24, 2048)])
+def test_near_copies_equal_brute_force(spark, listed, cell):
     r = random.Random(9)
     tail = words(r, 30)
     texts = []
@@ -42,7 +43,7 @@ def test_near_copies_equal_brute_force(spark, listed):
         w = words(r, r.randint(5, 60))
         texts += [" ".join(changed(r, w, r.randint(0, 2)) + (tail if r.random() < 0.3 else [])) for _ in range(12)]
     texts += [None, "", "one", "One", "one two three four five six seven eight", "one two three four five six seven"]
-    out = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), listed)[1].collect()
+    out = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), listed, cell)[1].collect()
     sets = []
     for t in texts:
         w = (t or "").lower().split()
@@ -77,3 +78,28 @@ def test_near_copy_stage_decides_by_row(spark):
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows_of(texts), COLUMNS), "").collect()
     want = [(None, texts[0][1]), (None, texts[1][1]), (7, texts[2][1]), (3, near), (9, texts[6][1])]
     assert sorted(map(repr, [(x.doc_id, x.text) for x in out])) == sorted(map(repr, want))
+
+
+def test_pairs_of_crowded_keys_cross_components_and_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 60, dtype=np.uint64)
+    sets = []
+    for i in range(30):
+        s = base.copy()
+        s[rng.choice(60, i % 9, replace=False)] = rng.integers(0, 2**62, i % 9, dtype=np.uint64)
+        sets.append(np.unique(s))
+    root = [i % 4 for i in range(30)]
+    hot = spark.createDataFrame([(7, i, len(s), root[i]) for i, s in enumerate(sets)], "key long, id long, n long, root long")
+    sketches = spark.createDataFrame([(i, bytearray(near_copies.sketch(s))) for i, s in enumerate(sets)], "id long, sketch binary")
+    whole = [np.frombuffer(near_copies.sketch(s), np.uint8).astype(int) for s in sets]
+    want = {
+        (i, j)
+        for i in range(30)
+        for j in range(i + 1, 30)
+        if root[i] != root[j] and 9 * abs(whole[i] - whole[j]).sum() <= len(sets[i]) + len(sets[j]) and 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
+    }
+    assert 0 < len(want) < 300
+    for n in (1, 4):
+        blocks = spark.createDataFrame([(7, n)], "key long, blocks long")
+        got = [tuple(r) for r in near_copies.crossing(hot, blocks, sketches).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
