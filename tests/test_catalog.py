@@ -5,6 +5,7 @@ import pytest
 from contestra.operators.fold import elo_fold
 from contestra.operators.relational import append_once, merge_upsert, scd2_apply
 import contestra.plans.derived as derived
+import contestra.plans.intake as intake
 import contestra.plans.leftovers as leftovers
 import contestra.plans.people as people
 import contestra.plans.skill as skill
