@@ -27,11 +27,16 @@ def _won(side: Column) -> Column:
     return F.lower(F.trim(F.coalesce(side["Outcome"]["Outcome"], F.lit(""))))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns, behind a generator: the optimizer would else repeat their parsing and searching at every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def live_contests(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contests, problems) of feeds(event_id, payload). Only contests of status Final show outcome, method, round and
     time; a contest without both corners is left out. A feed of another event, without contests, with ids that aren't
     numbers or that repeat gives one row (event_id, problem) and no contests; so does null or broken JSON."""
-    detail = F.from_json("payload", CARD)["LiveEventDetail"]
+    detail = F.col("detail")
     card = F.coalesce(detail["FightCard"], F.expr("array()"))
     full = F.filter(card, lambda f: _corner(f["Fighters"], "Red").isNotNull() & _corner(f["Fighters"], "Blue").isNotNull())
     ids = F.transform("full", lambda f: f["FightId"])
@@ -40,7 +45,8 @@ def live_contests(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.exists(card, lambda f: ~F.coalesce(f["FightId"].rlike(r"^\d+$"), F.lit(False)) | f["Fighters"].isNull()), "contest format unavailable")
         .when((F.size("full") == 0) | (F.size(F.array_distinct(ids)) < F.size(ids)), "empty or duplicate contest ids")
     )
-    rows = feeds.select("event_id", "payload", full.alias("full")).select("event_id", "full", problem.alias("problem"))
+    rows = _once(feeds.select("event_id", "payload"), detail=F.from_json("payload", CARD)["LiveEventDetail"])
+    rows = _once(rows, full=full).select("event_id", "full", problem.alias("problem"))
     final = F.col("f.Status") == "Final"
     out = rows.where("problem is null").select("event_id", F.explode("full").alias("f"))
     red, blue = _corner(F.col("f.Fighters"), "Red"), _corner(F.col("f.Fighters"), "Blue")
@@ -53,11 +59,10 @@ def contest_totals(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(totals, problems) of feeds(contest_id, payload): per contest and corner what was landed of how many attempts,
     once all checks hold: that contest, two named corners with a line each, whole numbers, no more landed than attempted,
     control as m:ss, and one winner. The first check that fails is the problem."""
-    d = F.from_json("payload", TOTALS)["LiveFightDetail"]
     red, blue = _corner(F.col("d.Fighters"), "Red"), _corner(F.col("d.Fighters"), "Blue")
     line = lambda side: F.get(F.filter("d.FightStats", lambda s: s["FighterId"] == side["FighterId"]), F.lit(0))
-    rows = feeds.select("contest_id", d.alias("d"))
-    rows = rows.select("contest_id", "d", red.alias("red"), blue.alias("blue")).withColumns({"x": line(F.col("red")), "y": line(F.col("blue"))})
+    rows = _once(feeds.select("contest_id", "payload"), d=F.from_json("payload", TOTALS)["LiveFightDetail"])
+    rows = _once(_once(rows, red=red, blue=blue), x=line(F.col("red")), y=line(F.col("blue")))
     both = ("x", "y")
     fails = lambda c: ~F.coalesce(c, F.lit(False))
     any_ = lambda cs: F.greatest(*[c.cast("int") for c in cs]) == 1
@@ -71,7 +76,7 @@ def contest_totals(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(any_([fails(F.trim(f"{s}.ControlTime").rlike(r"^\d+:[0-5]\d$")) for s in both]), "control time")
         .when(~(((_won(F.col("red")) == "win") & (_won(F.col("blue")) == "loss")) | ((_won(F.col("blue")) == "win") & (_won(F.col("red")) == "loss"))), "no winner")
     )
-    rows = rows.withColumn("problem", problem)
+    rows = _once(rows, problem=problem)
 
     def side(corner: str, s: str) -> Column:
         pairs = [F.col(f"{s}.{p}{e}").try_cast("int").alias(f"{k}_{e.lower()}") for k, p in PAIRS.items() for e in ("Landed", "Attempted")]
