@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +65,41 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def by_merge(df: DataFrame) -> DataFrame:
+    """df, never broadcast in a join. Spark takes the size of a side from the shuffle or file it comes from, so rows that
+    are exploded or well compressed may be sent to the driver by the million."""
+    return df.hint("merge")
+
+
+def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, root) of all edges of one task."""
+    up: dict[int, int] = {}
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            for x in (u, v):
+                up.setdefault(x, x)
+            while up[u] != u:
+                up[u] = u = up[up[u]]
+            while up[v] != v:
+                up[v] = v = up[up[v]]
+            up[max(u, v)] = min(u, v)
+    out = []
+    for x in up:
+        r = x
+        while up[r] != r:
+            r = up[r]
+        up[x] = r
+        out.append((x, r))
+    yield pd.DataFrame(out, columns=["node", "root"], dtype="int64")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = 100_000) -> DataFrame:
     """(node, root) for every node of edges(u, v): root is the smallest node of its component.
 
     Alternates large-star and small-star steps, so no node's neighbours are ever gathered in one place: a hub
     costs one aggregated minimum and rows of an ordinary join. Each round is staged. Null ends, loops and repeated
-    edges are ignored. An empty table gives an empty one.
+    edges are ignored. An empty table gives an empty one. At most one_task edges of whole numbers are joined in one
+    task instead, since each round costs the driver several plans and broadcasts.
     """
     e = staged(
         edges.where("u is not null and v is not null and u <> v")
@@ -76,6 +107,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
+    if e.schema["u"].dataType.typeName() == "long" and e.count() <= one_task:
+        return e.coalesce(1).mapInPandas(_roots, "node long, root long")
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, read_table, staged
+from .common import bounded_batches, by_merge, connected_components, read_table, staged
 
 #: Candidate pairs under one key beyond which it counts as hot.
 HOT_PAIRS = 1024
@@ -70,18 +70,18 @@ def near_links(prints: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     # Keys with more than one fingerprint of the index or probed by several are few; the rest meet only themselves.
     held = table.groupBy("key").agg(F.count("*").alias("held"))
     # A probe of the first table finds something only if that key is held.
-    found = probes.join(held, "key")
+    found = by_merge(probes).join(held, "key")
     load = found.groupBy("key").agg(F.count("*").alias("asked"), F.first("held").alias("held")).where("asked > 1")
     load = staged(load.select("key", (F.col("asked") * F.col("held") > hot_pairs).alias("hot")), "keys")
-    busy = staged(probes.join(load, "key"), "probes")
+    busy = staged(by_merge(probes).join(load, "key"), "probes")
     cold = busy.where("not hot").select("key", F.col("fp").alias("a"))
-    other = table.join(load.where("not hot"), "key").select("key", F.col("fp").alias("b"))
-    pairs = cold.join(other, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    other = by_merge(table).join(load.where("not hot"), "key").select("key", F.col("fp").alias("b"))
+    pairs = by_merge(cold).join(other, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     crowd = busy.where("hot").select("fp").distinct()
     whole = F.concat(F.array("fp"), F.array(*[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)]))
     spread = crowd.select("fp", F.explode(whole).alias("key"))
     hubs = spread.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    stars = spread.join(hubs, "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    stars = by_merge(spread).join(hubs, "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.unionByName(stars)
 
 

@@ -383,3 +383,19 @@ def test_tool_calls(spark):
     assert out["c"].level is None and out["c"].violations == "arguments: not an object" and out["d"].violations == "unknown tool"
     assert out["a"].json == '{"arguments":{"x":1},"conversation":1,"id":"a","name":"add","result":"first","turn":0}'
     assert sorted(x.position for x in out.values()) == [0, 1, 2, 3, 4]
+
+
+def test_simhash_joins_broadcast_no_exploded_rows(spark):
+    r = random.Random(5)
+    prints = list({r.getrandbits(63) ^ (1 << r.randrange(63)) for _ in range(300)})
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in [*prints, *(p ^ 1 for p in prints)]], "fp long").distinct())
+    links.collect()
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    r = random.Random(6)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(None, 1), (7, 7), (400, 401), (401, 400)], "u long, v long")
+    one, rounds = (sorted(map(tuple, simhash.connected_components(edges, one_task=n).collect())) for n in (1000, 0))
+    assert one == rounds and (401, 400) in one
+    assert simhash.connected_components(edges.limit(0)).count() == 0
