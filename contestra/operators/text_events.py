@@ -103,6 +103,8 @@ CONTRACTS = {
     "pl": Topic({"extension": ("przedluz* ..2 kontrakt",), "release": ("zwolnion* z", "rozwiaz* ..2 kontrakt"), "free_agency": ("wolny agent", "wolnym agentem"), "signing": ("podpis* ..2 kontrakt", "podpis* z")}, "status_update"),
 }
 SUMMARY_CHARACTERS = 1600
+#: Names, and tenths of their ids, that may be broadcast; more are joined.
+FEW_NAMES = 100_000
 
 
 def has_signal(text: Column, topic: Topic) -> Column:
@@ -173,18 +175,20 @@ def incidental(text: Column, name: Column) -> Column:
 def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, name_id: str, name: str) -> DataFrame:
     """(key, name, name_ids, ambiguous): names that occur as whole words in a text, each once.
 
-    Names of two words or more and six characters or more count. A text's words meet the names by equality of their
-    first two words, and what follows is compared, so that no text meets all names and names may be of any length;
-    names shared by several rows are ambiguous.
+    Names of two words or more and six characters or more count; names shared by several rows are ambiguous. A text's
+    runs of as many words as some name has meet the names by equality of the whole, so that names with the same first
+    words don't meet, and names may be of any length. Ids are joined to what is found, once that is distinct.
     """
     known = names.select(normalize_name(F.col(name)).alias("__n"), name_id).where((F.length("__n") >= 6) & (F.size(F.split("__n", " ")) >= 2))
     known = known.groupBy("__n").agg(F.sort_array(F.collect_set(name_id)).alias("name_ids"))
-    known = known.withColumn("__a", F.split("__n", " ")).withColumn("__two", F.concat_ws(" ", F.col("__a")[0], F.col("__a")[1]))
+    sizes = known.groupBy(F.size(F.split("__n", " ")).alias("words")).agg(F.count("*").alias("names"), F.sum(F.size("name_ids")).alias("ids")).orderBy("words").collect()
+    few = sum(r.names for r in sizes) <= FEW_NAMES and sum(r.ids for r in sizes) <= 10 * FEW_NAMES
+    short, known = (F.broadcast(known.select("__n")), F.broadcast(known)) if few else (known.select("__n"), known)
     words = texts.select(key, F.split(normalize_name(F.col(text)), " ").alias("w")).where(F.size("w") > 1)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i, 2), " ").alias("two")))
-    found = words.select(key, "w", F.inline(pairs)).join(known, F.col("two") == F.col("__two"))
-    found = found.where(F.slice("w", F.col("i"), F.size("__a")) == F.col("__a"))
-    return found.select(key, F.col("__n").alias("name"), "name_ids", (F.size("name_ids") > 1).alias("ambiguous")).distinct()
+    lengths = F.filter(F.array(*[F.lit(r.words) for r in sizes]).cast("array<int>"), lambda n: n <= F.size("w"))
+    runs = F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
+    found = words.select(key, F.explode(F.array_distinct(F.flatten(runs))).alias("__n")).join(short, "__n").select(key, "__n").distinct()
+    return found.join(known, "__n").select(key, F.col("__n").alias("name"), "name_ids", (F.size("name_ids") > 1).alias("ambiguous"))
 
 
 def candidates(rows: DataFrame, url: str, name: str, event: str, summary: str, ambiguous: str, order: list[Column]) -> DataFrame:

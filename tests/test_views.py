@@ -141,3 +141,12 @@ def test_links_and_collisions(spark):
     assert [r.l for r in identity.without_collisions(links, "l", "r").collect()] == [3]
     alone = identity.scored_once(links, "r", [F.desc("confidence")]).collect()
     assert sorted((r.r, r.l, r.alone) for r in alone) == [(10, 1, False), (20, 3, True)]
+
+
+def test_mentions_of_names_with_equal_first_words_meet_only_their_own(spark):
+    names = spark.createDataFrame([(i, f"client no {i}") for i in range(300)], "id long, n string")
+    texts = spark.createDataFrame([(i, f"Client no {i} and client no {i + 1}, client") for i in range(300)], "k long, t string")
+    found = text_events.mentions(texts, names, "k", "t", "id", "n")
+    assert sorted((r.k, r.name_ids) for r in found.collect()) == sorted((i, [j]) for i in range(300) for j in (i, i + 1) if j < 300)
+    assert "__two" not in found._jdf.queryExecution().analyzed().toString()
+    assert text_events.mentions(texts, names.limit(0), "k", "t", "id", "n").count() == 0
