@@ -150,3 +150,23 @@ def test_mentions_of_names_with_equal_first_words_meet_only_their_own(spark):
     assert sorted((r.k, r.name_ids) for r in found.collect()) == sorted((i, [j]) for i in range(300) for j in (i, i + 1) if j < 300)
     assert "__two" not in found._jdf.queryExecution().analyzed().toString()
     assert text_events.mentions(texts, names.limit(0), "k", "t", "id", "n").count() == 0
+
+
+def test_sole_best_against_all_pairs(spark):
+    r = random.Random(8)
+    amounts = [None, float("nan"), float("inf"), 1e300, 100.1, 300.1, 600.1, -399.9, 0.1, 0.3, 1e16, 1e16 + 500]
+    side = lambda n: [(r.randrange(n) if r.random() < 0.3 else n + i, r.choice([0, 1, 2, -1, None]), r.choice([1, 2, 3, None]), r.choice(amounts) if r.random() < 0.5 else round(r.uniform(-1500, 1500), 1)) for i in range(n)]
+    left, right = side(60), [(i, *x[1:]) for i, x in enumerate(side(50))]
+    got = identity.sole_best(spark.createDataFrame(left, "l long, b int, p int, v double"), spark.createDataFrame(right, "r long, b int, p int, v double"), "l", "r", "b", "p", "v", 200.0, 500.0)
+    assert got._jdf.queryExecution().analyzed().toString().count("CoGroup") == 1
+    want = []
+    for key in {x[0] for x in left}:
+        scores = []
+        for _, b, p, v in (x for x in left if x[0] == key):
+            for i, c, q, w in right:
+                if b is not None and b == c:
+                    gap = abs(v - w) if v is not None and w is not None else float("nan")
+                    scores.append((3 * (p is not None and p == q) + (2 if gap <= 200 else 1 if gap <= 500 else 0), i))
+        top = [i for s, i in scores if s == max(scores)[0]]
+        want += [(key, top[0], max(scores)[0])] if len(top) == 1 else []
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
