@@ -83,10 +83,12 @@ select id, division, round(raw, 4) as raw, score, place::bigint as place, divisi
 @query("q13_prospect_board", PROSPECTS, pre=False)
 def q13(spark, d, max_age: int = 32, least: float = 40.0, top: str = "NATION_0"):
     """Derived scores ranked over all who qualify; then those outside the top promotion with score enough."""
-    raw = 0.6 * F.col("rating") / 100 + 25.0 * F.try_divide(F.col("wins").cast("double"), F.col("bouts")) + 15 * F.least("bouts", F.lit(20)) / 20.0 - (F.greatest("age", F.lit(26)) - 26)
+    # Multiplied before divided, and rounded as the SQL rounds: scores that tie there must tie here.
+    rounded = lambda c, n: F.round(c * 10.0**n) / 10.0**n
+    raw = 0.6 * F.col("rating") / 100 + F.try_divide(25.0 * F.col("wins"), F.col("bouts")) + 15 * F.least("bouts", F.lit(20)) / 20.0 - (F.greatest("age", F.lit(26)) - 26)
     s = people(spark, d).where((F.col("bouts") > 0) & (F.col("age") <= max_age)).withColumn("raw", raw)
-    s = s.select("id", "division", "promotion", "raw", F.round(100 * F.percent_rank().over(Window.orderBy("raw")), 1).alias("score"), F.rank().over(Window.orderBy(F.desc("raw"))).cast("long").alias("place"), F.rank().over(Window.partitionBy("division").orderBy(F.desc("raw"))).cast("long").alias("division_place"))
-    return s.where((F.col("promotion") != top) & (F.col("score") >= least)).select("id", "division", F.round("raw", 4).alias("raw"), "score", "place", "division_place")
+    s = s.select("id", "division", "promotion", "raw", rounded(100 * F.percent_rank().over(Window.orderBy("raw")), 1).alias("score"), F.rank().over(Window.orderBy(F.desc("raw"))).cast("long").alias("place"), F.rank().over(Window.partitionBy("division").orderBy(F.desc("raw"))).cast("long").alias("division_place"))
+    return s.where((F.col("promotion") != top) & (F.col("score") >= least)).select("id", "division", rounded(F.col("raw"), 4).alias("raw"), "score", "place", "division_place")
 
 
 LOCATIONS = """with x as (select c_custkey as id, case when c_custkey % 3 = 0 then 'Town' || c_custkey % 9 end as o_city, null as o_region, case when c_custkey % 4 = 0 then 'Land' || c_custkey % 5 end as o_country, 'City' || c_custkey % 7 as l_city, n_name as l_region from customer join nation on n_nationkey = c_nationkey)

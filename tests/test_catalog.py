@@ -51,3 +51,17 @@ def test_merges(spark):
     h = spark.sql("select 1 k, 'a' v, date'2020-01-01' started_at, cast(null as date) ended_at, true is_current")
     out = scd2_apply(h, spark.createDataFrame([(1, "b")], "k int, v string"), "k", "v", "2021-01-01").collect()
     assert sorted((r.v, str(r.ended_at), r.is_current) for r in out) == [("a", "2021-01-01", False), ("b", "None", True)]
+
+
+def test_prospect_board_ties_and_rounds_like_sql(spark, tmp_path):
+    con = duckdb.connect()
+    for t in ("nation", "region"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        con.sql(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    who = [(7633, 8409.5, 11), (22861, 6532.15, 15), (14761, 6800.45, 9), (1, 0.0, 0), (26, -500.0, 0), (51, -900.0, 0)]
+    con.sql(f"create table customer as select t.* replace (p.k as c_custkey, p.b as c_acctbal, 1 as c_nationkey) from (select * from '{SF}/customer.parquet' limit 1) t, (values {', '.join(f'({k}, {b}::double)' for k, b, _ in who)}) p(k, b)")
+    con.sql(f"create table orders as select t.* replace (p.k as o_custkey, case when i < p.w then 'F' else 'O' end as o_orderstatus) from (select * from '{SF}/orders.parquet' limit 1) t, (values {', '.join(f'({k}, {w})' for k, _, w in who)}) p(k, w), range(32) g(i)")
+    for t in ("customer", "orders"):
+        con.sql(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    got = {r.id: r.raw for r in QUERIES["q13_prospect_board"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.sql(f"select id, raw from ({ORACLES['q13_prospect_board']})").fetchall()) and 7633 in got
