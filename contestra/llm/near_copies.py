@@ -33,6 +33,8 @@ CELL = 2048
 #: Texts that show which shingles are common, and most shingles that count as such.
 SAMPLE, COMMON = 4000, 200_000
 BUCKETS = 128
+#: Sets of one block when pairs are verified; a task holds two blocks at a time.
+BLOCK = 64
 #: Ids that may be broadcast; more are joined.
 FEW_IDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -230,24 +232,39 @@ def _verified(pairs: DataFrame, rows: DataFrame, sig: DataFrame, repeated: bool)
     both = pairs.join(one.select(F.col("id").alias("u"), F.col("__n").alias("n"), F.col("__sketch").alias("x")), "u")
     both = both.join(one.select(F.col("id").alias("v"), F.col("__n").alias("m"), F.col("__sketch").alias("y")), "v")
     likely = staged(both.mapInPandas(allowed, "u long, v long"), "likely")
-    named = one.join(likely.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
-    named = staged(named.select("id", "__row"), "named")
+    # Sets go to the cells of two blocks that hold their pairs, once each; blocks gather sets with a common neighbour.
+    both = likely.unionByName(likely.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+    near = staged(both.join(least, "v").groupBy(F.col("u").alias("id")).agg(F.min("m").alias("m")), "labels")
+    parts = near.groupBy("m").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    home = staged(near.join(parts, "m").select("id", F.xxhash64("m", F.pmod(F.xxhash64("id"), "parts")).alias("block")), "blocks")
+    cells = likely.join(home.select(F.col("id").alias("u"), F.col("block").alias("a")), "u").join(home.select(F.col("id").alias("v"), F.col("block").alias("b")), "v")
+    cells = staged(cells.select("u", "v", F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("cell")), "cells")
+    needed = cells.select("cell", F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.collect_set("cell").alias("cells"))
+    named = staged(one.join(needed, "id").select("id", "__row", "cells"), "named")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "s": [shingles(t, seen).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "cells": pdf["cells"], "s": [shingles(t, seen).tobytes() for t in pdf["text"]]})
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
         for pdf in batches:
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            good = []
+            for cell, u, v, s in zip(pdf["cell"].tolist(), pdf["u"].tolist(), pdf["v"].tolist(), pdf["s"], strict=True):
+                if cell != at:
+                    at, held = cell, {}
+                if s is not None:
+                    held[u] = np.frombuffer(s, np.uint64)
+                good.append(s is None and similar(held[u], held[v]))
             yield pdf.loc[np.array(good, bool), ["u", "v"]]
 
-    found = rows.select("__row", "text").join(small(named), "__row").mapInPandas(sets, "id long, s binary")
-    found = staged(found.dropDuplicates(["id"]) if repeated else found, "sets")
-    sides = found.select(F.col("id").alias("u"), F.col("s").alias("x")).join(small(likely), "u").join(found.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
-    out = staged(sides.mapInPandas(check, "u long, v long"), "similar")
-    unstage(few, one, likely, named, found)
+    found = rows.select("__row", "text").join(small(named), "__row").mapInPandas(sets, "id long, cells array<long>, s binary")
+    found = (found.dropDuplicates(["id"]) if repeated else found).select(F.explode("cells").alias("cell"), F.col("id").alias("u"), F.lit(0).cast("long").alias("v"), "s")
+    dealt = found.unionByName(cells.select("cell", "u", "v", F.lit(None).cast("binary").alias("s"))).repartition("cell").sortWithinPartitions("cell", F.col("s").isNull())
+    out = staged(dealt.mapInPandas(check, "u long, v long"), "similar")
+    unstage(few, one, likely, near, home, cells, named)
     return out
 
 

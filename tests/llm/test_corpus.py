@@ -103,3 +103,26 @@ def test_pairs_of_crowded_keys_cross_components_and_blocks(spark):
         blocks = spark.createDataFrame([(7, n)], "key long, blocks long")
         got = [tuple(r) for r in near_copies.crossing(hot, blocks, sketches).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_verification_sends_a_set_once_for_its_block(spark, monkeypatch):
+    r = random.Random(12)
+    base = words(r, 100)
+    texts = [" ".join(changed(r, base, 1)) for _ in range(20)]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "__row string, text string")
+    sig = near_copies.with_sets(rows)
+    ids = sorted(x["__set"] for x in sig.collect())
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "u long, v long")
+    keep, sent = near_copies.staged, []
+
+    def staged(df, name):
+        out = keep(df, name)
+        if name == "named":
+            sent.append(sum(len(x.cells) for x in out.collect()))
+        return out
+
+    monkeypatch.setattr(near_copies, "staged", staged)
+    for block in (64, 3):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        assert sorted(map(tuple, near_copies._verified(pairs, rows, sig, False).collect())) == sorted(map(tuple, pairs.collect()))
+    assert sent[0] == 20 and sent[0] < sent[1] < 190  # of 190 pairs
