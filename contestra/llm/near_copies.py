@@ -6,7 +6,9 @@ fingerprints meet in the SimHash index, and sets that share a key. Of a set of n
 n // 5 + 1 are its keys: sets that similar share a key, whatever the order. The order puts shingles that a sample of
 texts shows to be common last, which keeps few sets under a key; no result depends on it. Candidates are verified on the
 whole sets, once the sizes of the sets' BUCKETS parts allow it (the difference of two sets is at least the sum of the
-differences in size of their parts). Under a key all sets first pair with a hub; the other pairs are verified only if
+differences in size of their parts), and then the parities of finer parts, whose number grows with the set (it is at
+least the number of parts in which one set has an odd size and the other an even one). Sizes tell texts of over about
+3,000 words apart no more, parities do at any length. Under a key all sets first pair with a hub; the other pairs are verified only if
 their ends are then still in different components, so no pair that could join two is left out, and a group of near
 copies costs about one verification a member. Under a crowded key such pairs are compared by sketch in blocks, and only
 those that pass are written.
@@ -30,8 +32,9 @@ WIDTH = 5
 LISTED, HUBS = 24, 3
 #: Sets of one block of a crowded key; two blocks are compared in one task.
 CELL = 2048
-#: Texts that show which shingles are common, and most shingles that count as such.
-SAMPLE, COMMON = 4000, 200_000
+#: Texts that show which shingles are common, at least, and the part of all texts from which on more do; most shingles
+#: that count as common.
+SAMPLE, PART, COMMON = 4000, 16, 1_000_000
 BUCKETS = 128
 #: Sets of one block when pairs are verified; a task holds two blocks at a time.
 BLOCK = 64
@@ -76,9 +79,26 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each part of a set by the low bits of its hashes, whether its size is odd. There are two to four parts
+    a shingle, a power of two."""
+    parts = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint8) & 1).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """What the parities of two sets show of their difference: its size at most. The finer ones are folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, sorted, and counts) of shingles in several of a sample of docs(text)."""
-    every = max(1, docs.count() // SAMPLE)
+    every = max(1, min(docs.count() // SAMPLE, PART))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
@@ -87,27 +107,28 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pd.DataFrame({"s": np.concatenate([shingles(t, seen) for t in pdf["text"]]).view(np.int64)})
 
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInPandas(run, "s long")
-    found = sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).toPandas()
+    found = sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toPandas()
     s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(s)
     return s[order], n[order]
 
 
 def with_sets(rows: DataFrame) -> DataFrame:
-    """rows, without their text, with __set (hash of the set of shingles), __n (its size), __sketch, __fp (fingerprint)
-    and __keys."""
+    """rows, without their text, with __set (hash of the set of shingles), __n (its size), __sketch, __parities, __fp
+    (fingerprint) and __keys."""
     shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))  # COMMON at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, counts = shared.value
         seen: dict[bytes, int] = {}
         for pdf in batches:
-            ids, sizes, parts, prints, keys = [], [], [], [], []
+            ids, sizes, parts, odd, prints, keys = [], [], [], [], [], []
             for text in pdf["text"]:
                 s = shingles(text, seen)
                 ids.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 sizes.append(len(s))
                 parts.append(sketch(s))
+                odd.append(parities(s))
                 prints.append(majority(s.astype(">u8").tobytes()))
                 p = len(s) // 5 + 1
                 if len(common) and len(s):
@@ -115,12 +136,12 @@ def with_sets(rows: DataFrame) -> DataFrame:
                     s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
                 keys.append(s[:p].view(np.int64))
             out = pdf.drop(columns="text")
-            out["__set"], out["__n"], out["__sketch"], out["__keys"] = np.array(ids, np.uint64).view(np.int64), sizes, parts, keys
+            out["__set"], out["__n"], out["__sketch"], out["__parities"], out["__keys"] = np.array(ids, np.uint64).view(np.int64), sizes, parts, odd, keys
             out["__fp"] = np.array(prints, np.uint64).view(np.int64)
             yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInPandas(run, fields + ", __set long, __n long, __sketch binary, __keys array<long>, __fp long")
+    return rows.mapInPandas(run, fields + ", __set long, __n long, __sketch binary, __parities binary, __keys array<long>, __fp long")
 
 
 def _meet(batches: Iterator[pd.DataFrame], listed: int) -> Iterator[pd.DataFrame]:
@@ -227,11 +248,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, sig: DataFrame, repeated: bool)
                 x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in "xy")
                 n, m = pdf["n"].to_numpy(), pdf["m"].to_numpy()
                 good = 9 * np.abs(x - y).sum(1) <= n + m  # similarity 4/5: a ninth differs
-                yield pdf.loc[good & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)), ["u", "v"]]
+                yield pdf.loc[good & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)), ["u", "v", "n", "m"]]
 
     both = pairs.join(one.select(F.col("id").alias("u"), F.col("__n").alias("n"), F.col("__sketch").alias("x")), "u")
     both = both.join(one.select(F.col("id").alias("v"), F.col("__n").alias("m"), F.col("__sketch").alias("y")), "v")
-    likely = staged(both.mapInPandas(allowed, "u long, v long"), "likely")
+    sized = staged(both.mapInPandas(allowed, "u long, v long, n long, m long"), "sized")
+    ends = staged(sized.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
+    odd = sig.select(F.col("__set").alias("id"), F.col("__parities").alias("p")).join(small(ends), "id", "left_semi")
+    odd = staged(odd.dropDuplicates(["id"]), "parities")
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = [9 * apart(p, q) <= n + m for p, q, n, m in zip(pdf["p"], pdf["q"], pdf["n"], pdf["m"], strict=True)]
+            yield pdf.loc[np.array(good, bool), ["u", "v"]]
+
+    both = sized.join(odd.withColumnRenamed("id", "u"), "u").join(odd.select(F.col("id").alias("v"), F.col("p").alias("q")), "v")
+    likely = staged(both.mapInPandas(close, "u long, v long"), "likely")
     # Sets go to the cells of two blocks that hold their pairs, once each; blocks gather sets with a common neighbour.
     both = likely.unionByName(likely.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
@@ -264,7 +296,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sig: DataFrame, repeated: bool)
     found = (found.dropDuplicates(["id"]) if repeated else found).select(F.explode("cells").alias("cell"), F.col("id").alias("u"), F.lit(0).cast("long").alias("v"), "s")
     dealt = found.unionByName(cells.select("cell", "u", "v", F.lit(None).cast("binary").alias("s"))).repartition("cell").sortWithinPartitions("cell", F.col("s").isNull())
     out = staged(dealt.mapInPandas(check, "u long, v long"), "similar")
-    unstage(few, one, likely, near, home, cells, named)
+    unstage(few, one, sized, ends, odd, likely, near, home, cells, named)
     return out
 
 
@@ -316,5 +348,5 @@ def near_copies(docs: DataFrame, listed: int = LISTED, cell: int = CELL) -> tupl
     if not more.isEmpty():
         roots = connected_components(links.unionByName(_verified(more, rows, sig, repeated)))
     unstage(reps, met, first, hot, blocks, ids, sketches, more)
-    out = sig.drop("__n", "__sketch", "__keys", "__fp").join(roots, F.col("__set") == F.col("node"), "left")
+    out = sig.drop("__n", "__sketch", "__parities", "__keys", "__fp").join(roots, F.col("__set") == F.col("node"), "left")
     return rows, out.withColumn("__root", F.coalesce("root", "__set")).drop("node", "root")

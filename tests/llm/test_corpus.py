@@ -126,3 +126,49 @@ def test_verification_sends_a_set_once_for_its_block(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "BLOCK", block)
         assert sorted(map(tuple, near_copies._verified(pairs, rows, sig, False).collect())) == sorted(map(tuple, pairs.collect()))
     assert sent[0] == 20 and sent[0] < sent[1] < 190  # of 190 pairs
+
+
+def test_parities_bound_differences_of_any_sizes():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 9000, dtype=np.uint64)
+    for n in (0, 1, 3, 40, 700, 4000):
+        for m in (n, n + 1, n * 9 // 8, n * 5 // 4):
+            for shift in (0, n // 50, n // 10, n):
+                a, b = np.unique(pool[:n]), np.unique(pool[shift : shift + m])
+                seen, real = near_copies.apart(near_copies.parities(a), near_copies.parities(b)), len(np.setxor1d(a, b))
+                assert seen <= real and (real - seen) % 2 == 0
+                if n >= 700 and 7 * real >= 2 * (n + m):
+                    assert 9 * seen > n + m
+
+
+def test_verification_of_long_texts_sends_only_near_ones(spark, monkeypatch):
+    r = random.Random(13)
+    base = [words(r, 6000) for _ in range(3)]
+    texts = [" ".join(w) for w in base] + [" ".join(changed(r, base[0], 20))]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "__row string, text string")
+    sig = near_copies.with_sets(rows)
+    of = {x["__row"]: x["__set"] for x in sig.collect()}
+    ids = sorted(of.values())
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "u long, v long")
+    keep, sent = near_copies.staged, []
+
+    def staged(df, name):
+        out = keep(df, name)
+        if name == "named":
+            sent.extend(x.id for x in out.collect())
+        return out
+
+    monkeypatch.setattr(near_copies, "staged", staged)
+    want = sorted([of["0"], of["3"]])
+    assert [tuple(x) for x in near_copies._verified(pairs, rows, sig, False).collect()] == [tuple(want)]
+    assert sorted(sent) == want  # sizes of parts allow all six pairs
+
+
+def test_a_part_of_all_texts_shows_common_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE", 4)
+    r = random.Random(14)
+    phrase = words(r, 5)
+    rows = spark.createDataFrame([(" ".join(words(r, 6) + (phrase if i % 4 == 0 else [])),) for i in range(1600)], "text string")
+    found, n = near_copies.common_shingles(rows)
+    assert near_copies.shingles(" ".join(phrase), {})[0] in found
+    assert 10 <= n.max() < 60  # about 400 / 16 of them
