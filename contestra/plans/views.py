@@ -33,7 +33,7 @@ def fitted(history: DataFrame) -> dict[str, float]:
 
 @query("r06_fitted_weights")
 def r06(spark, d):
-    weights = fitted(r02(spark, d).persist())
+    weights = fitted(r02(spark, d))
     return spark.createDataFrame(list(weights.items()), "measure string, weight double")
 
 

@@ -181,3 +181,17 @@ def test_ratings_alone_are_folded_together(spark):
     alone = global_rating.career_history(df.where("seq % 2 = 1"))
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, alone.collect()))
     assert global_rating.mirrored_differences(alone)._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 2
+
+
+def test_weights_are_fitted_on_all_rows(spark):
+    noise = [F.randn(seed=i) for i in range(6)]
+    d = spark.range(0, 240_000, numPartitions=8).select(
+        F.expr("date'2000-01-01' + if(id < 210000, int(id % 2), 9)").alias("event_date"), F.col("id").alias("seq"), (noise[5] + noise[0] + noise[2] / 2 > 0).cast("double").alias("y"),
+        *[(n * s).alias(f"d_{m}") for n, s, m in zip(noise, (200, 80, 60, 0.2, 0.1), global_rating.MEASURES, strict=False)],
+    ).persist()
+    for split, n in (("2000-01-02", 105_000), ("2000-01-03", 210_000)):
+        rows = d.where(F.col("event_date") < split).toPandas()
+        want = global_rating.weight_shares(global_rating.positive_fit(rows.iloc[:, 3:].to_numpy(float), rows["y"].to_numpy(float)))
+        got = global_rating.fit_weights(d, split)
+        assert len(rows) == n and got["schedule"] > 0 and all(abs(got[m] - want[m]) < 1e-9 for m in global_rating.MEASURES)
+    d.unpersist()
