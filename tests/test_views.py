@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from contestra.operators import fitting, global_rating, identity, text_events
+from contestra.plans import views
+
+SF = "/root/testdata/sf0.01"
 
 
 def contests(n=300, people=12, seed=5):
@@ -195,3 +198,13 @@ def test_weights_are_fitted_on_all_rows(spark):
         got = global_rating.fit_weights(d, split)
         assert len(rows) == n and got["schedule"] > 0 and all(abs(got[m] - want[m]) < 1e-9 for m in global_rating.MEASURES)
     d.unpersist()
+
+
+def test_global_rating_is_the_same_where_rows_stay(spark, monkeypatch):
+    want = {r.entity_id: r for r in views.r09(spark, SF).collect()}
+    monkeypatch.setattr(global_rating, "ON_DRIVER", 0)
+    got = views.r09(spark, SF).collect()
+    assert len(got) == len(want) == 100
+    for r in got:
+        w = want[r.entity_id]
+        assert abs(r.rating - w.rating) < 1e-9 and (r.global_rank, r.division_rank) == (w.global_rank, w.division_rank)
